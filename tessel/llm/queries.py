@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import line_dedup, media_png, packing, sharding
+from tessel.llm import line_dedup, media_png, near_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ FROM lines GROUP BY doc_id
 """
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_near_copies(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_png.media_columns(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_media_png": op10_media_png,
 }
 
