@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import line_dedup, media_png, near_dedup, packing, sharding
+from tessel.llm import line_dedup, media_png, near_dedup, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_near_copies(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op10_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_png.media_columns(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -62,6 +72,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_media_png": op10_media_png,
 }
 
