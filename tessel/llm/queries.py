@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import line_dedup, media_png, near_dedup, packing, sharding, toxicity
+from tessel.llm import line_dedup, media_png, near_dedup, packing, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ FROM lines GROUP BY doc_id
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    kinds = F.transform("spans", lambda x: x["kind"])
+    count = [F.size(F.array_remove(kinds, k)) for k in range(4)]
+    count = [(F.size(kinds) - n).cast("long").alias(f"n_{kind}") for n, kind in zip(count, secrets.KINDS, strict=True)]
+    return out.select("doc_id", *count, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_near_copies(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -71,6 +80,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secrets": op7_secrets,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media_png": op10_media_png,

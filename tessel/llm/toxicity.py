@@ -32,7 +32,7 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIX = 6
 SEGMENT = 64
 #: Largest log-odds that a document's summary tells apart, and those of a sure token.
-LIMIT, SURE = 12.0, 4.0
+LIMIT, SURE = 12.0, 1.0
 _SALTS = [_U(0), _U(0xA5A5), _U(0x5A5A5A), _U(0x3C3C3C3C)]
 
 
