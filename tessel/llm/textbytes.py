@@ -75,22 +75,26 @@ def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK) -> Iterator[pa.R
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and first-word indexes per text (n + 1) of the words ``[^\\x20\\x09-\\x0D]+``."""
+def runs(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first-run indexes per text (n + 1) of maximal runs of bytes for which ``inside`` is true."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~SPACE[data]
+    good = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
-    start = inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:n]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:] | edge[1:n]
+    start, end = good.copy(), good.copy()
+    start[1:] &= ~good[:-1] | edge[1:n]
+    end[:-1] &= ~good[1:] | edge[1:n]
     s = np.flatnonzero(start)
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, at)
 
 
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+``, as ``runs`` gives them."""
+    return runs(data, at, ~SPACE)
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[s:e] with A-Z lower-cased."""
     if not len(s):
@@ -99,3 +103,21 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
     return mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
+
+
+class HashIndex:
+    """Places of 64-bit hashes in a sorted array of different hashes, by their top bits."""
+
+    def __init__(self, names: np.ndarray, bits: int = 20) -> None:
+        self.names, self.shift = names, _U(64 - bits)
+        self.first = np.searchsorted(names, np.arange(1 << bits, dtype=_U) << self.shift).astype(np.int32)
+        self.most = int(np.bincount((names >> self.shift).astype(np.int64)).max()) if len(names) else 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        for k in range(self.most):
+            i = np.minimum(at + k, len(self.names) - 1)
+            np.copyto(out, i, where=self.names[i] == hashes)
+        return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.textbytes import chunks, mix, view, word_hashes
+from tessel.llm.textbytes import HashIndex, chunks, mix, runs, view, word_hashes
 
 _U = np.uint64
 #: Bytes of tokens: ASCII letters and all bytes of longer UTF-8 characters.
@@ -36,21 +36,6 @@ LIMIT, SURE = 12.0, 1.0
 _SALTS = [_U(0), _U(0xA5A5), _U(0x5A5A5A), _U(0x3C3C3C3C)]
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and first-token indexes per text (n + 1)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = LETTER[data]
-    edge = np.zeros(n + 1, bool)
-    edge[at] = True
-    start, end = inside.copy(), inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:n]
-    end[:-1] &= ~inside[1:] | edge[1:n]
-    s = np.flatnonzero(start)
-    return s, np.flatnonzero(end) + 1, np.searchsorted(s, at)
-
-
 def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hashes (templates, tokens): the word, its prefix, the word before and the word after."""
     h = word_hashes(data, s, e)
@@ -107,16 +92,12 @@ class Model:
     def emission(self, feats: np.ndarray) -> np.ndarray:
         out = np.full(feats.shape[1], self.bias)
         if len(self.names):
-            if not hasattr(self, "slots"):
-                # The weight table is looked up through the hashes' top bits.
-                self.shift = _U(64 - 20)
-                self.slots = np.searchsorted(self.names, np.arange(1 << 20, dtype=_U) << self.shift).astype(np.int32)
-                self.most = int(np.bincount((self.names >> self.shift).astype(np.int64)).max())
+            if not hasattr(self, "index"):
+                self.index = HashIndex(self.names)
             for row in feats:
-                at = self.slots[(row >> self.shift).astype(np.int64)]
-                for k in range(self.most):
-                    i = np.minimum(at + k, len(self.names) - 1)
-                    out += np.where(self.names[i] == row, self.weights[i], 0.0)
+                at = self.index.find(row)
+                hit = at >= 0
+                out[hit] += self.weights[at[hit]]
         return out
 
     def odds(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -164,7 +145,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10.0, least: int = 6, epochs: int = 20) -> Model:
     """Fit a model to whole labelled texts; ``weight`` is the rows that a sampled row stands for."""
     data, at = view(texts)
-    s, e, first = tokens(data, at)
+    s, e, first = runs(data, at, LETTER)
     base = np.log((toxic @ weight + 0.5) / ((1 - toxic) @ weight + 0.5))
     feats = features(data, s, e, first)
     owner = np.repeat(np.arange(len(toxic)), np.diff(first))
@@ -265,7 +246,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_
         for whole in batches:
             for batch in chunks(whole, "__text", 4 << 20):
                 data, at = view(batch.column(1))
-                s, e, first = tokens(data, at)
+                s, e, first = runs(data, at, LETTER)
                 odds = m.odds(features(data, s, e, first), first)
                 scores = _sigmoid(summaries(odds, first) @ m.layer)
                 p = _sigmoid(odds)
