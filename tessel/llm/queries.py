@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import decontaminate, line_dedup, media_png, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity
+from tessel.llm import decontaminate, line_dedup, media_png, near_dedup, packing, secrets, sharding, staging, suffix_dedup, toxicity, warc_revisit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,74 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), items)
 
 
+#: Seconds of the first capture.
+_WARC_BEGIN = 1_700_000_000
+
+
+def op5_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a full response, and a revisit some captures later.
+
+    A fifth of the revisits bring another entity tag, a seventh only the date.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    html, n, mark = F.coalesce("html", F.lit("")), F.col("page_id"), F.floor(F.pmod(F.col("page_id") * 2654435761, F.lit(1 << 32)) / 65536)
+    begin = F.lit(_WARC_BEGIN) + n * 10
+    tag = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
+    date = F.concat(F.lit("day "), F.floor(n / 100).cast("string"))
+    response = warc_revisit.write_record(
+        F.lit("response"), F.concat(F.lit("page:"), n), F.col("url"), begin, "200 OK",
+        [("Content-Type", F.lit("text/html")), ("Content-Length", F.octet_length(html).cast("string")), ("ETag", tag), ("Last-Modified", date), ("Cache-Control", F.lit("max-age=60"))],
+        html,
+    )
+    revisit = warc_revisit.write_record(
+        F.lit("revisit"), F.concat(F.lit("again:"), n), F.col("url"), begin + 5 + 1000 * (mark % 4), "304 Not Modified",
+        [
+            ("ETag", F.when(mark % 5 == 0, F.lit('"other"')).when(mark % 7 != 0, tag)), ("Last-Modified", date),
+            ("Cache-Control", F.concat(F.lit("max-age="), n)), ("Content-Length", F.lit("0")), ("Content-Type", F.lit("text/plain")),
+        ],
+        F.lit(""),
+    )
+    records = warc_revisit.read_records(pages.select(F.explode(F.array(response, revisit)).alias("raw")))
+    out = warc_revisit.resolve_revisits(staging.stage(records.drop("body"), "warc-records"))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return out.select(
+        number("record_id").alias("page_id"), "time", "resolution", number("response_id").alias("response_page_id"), "response_time",
+        *(F.col("headers")[name].alias(name.replace("-", "_")) for name in ("content-type", "content-length", "etag", "last-modified", "cache-control")),
+    )
+
+
+OP5_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, {_WARC_BEGIN} + page_id * 10 AS t,
+         '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id // 100) AS modified,
+         regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+         (page_id * 2654435761 % 4294967296) // 65536 AS c
+  FROM pages),
+canon AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    array_to_string(list_sort([x FOR x IN string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')
+      IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid|sessionid)(=|$)')]), '&') AS q
+  FROM p),
+full_ AS (SELECT page_id, t, tag, modified, strlen(html) AS n, place || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM canon),
+again AS (
+  SELECT page_id, t + 5 + 1000 * (c % 4) AS t, CASE WHEN c % 5 = 0 THEN '"other"' WHEN c % 7 <> 0 THEN tag END AS tag, modified,
+         place || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u
+  FROM canon),
+j AS (SELECT a.*, f.page_id AS fp, f.t AS ft, f.tag AS ftag, f.modified AS fmod, f.n AS fn,
+        CASE WHEN a.tag IS NOT NULL THEN a.tag = f.tag ELSE a.modified = f.modified END AS agreed
+      FROM again a ASOF LEFT JOIN full_ f ON a.u = f.u AND a.t > f.t)
+SELECT page_id, t AS time,
+  CASE WHEN u IS NULL THEN 'no_url' WHEN fp IS NULL THEN 'no_earlier_response' WHEN agreed THEN 'resolved' ELSE 'validator_mismatch' END AS resolution,
+  CASE WHEN agreed THEN fp END AS response_page_id, CASE WHEN agreed THEN ft END AS response_time,
+  CASE WHEN agreed THEN 'text/html' ELSE 'text/plain' END AS content_type,
+  CASE WHEN agreed THEN fn::VARCHAR ELSE '0' END AS content_length,
+  CASE WHEN agreed THEN coalesce(tag, ftag) ELSE tag END AS etag,
+  modified AS last_modified, 'max-age=' || page_id AS cache_control
+FROM j
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,6 +159,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc_revisit": op5_warc_revisit,
     "op6_line_dedup": op6_line_dedup,
     "op7_secrets": op7_secrets,
     "op8_near_dedup": op8_near_dedup,
@@ -98,4 +167,4 @@ QUERIES = {
     "op10_media_png": op10_media_png,
 }
 
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
+ORACLE_SQL = {"op5_warc_revisit": OP5_SQL, "op6_line_dedup": OP6_SQL}
