@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessel.llm.textbytes import HashIndex, chunks, mix, runs, view, word_hashes
 
@@ -36,18 +37,26 @@ LIMIT, SURE = 12.0, 1.0
 _SALTS = [_U(0), _U(0xA5A5), _U(0x5A5A5A), _U(0x3C3C3C3C)]
 
 
-def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes (templates, tokens): the word, its prefix, the word before and the word after."""
+def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, wanted: tuple[int, ...] = (0, 1, 2, 3)) -> list[np.ndarray]:
+    """Hashes of the tokens for each wanted template: the word, its prefix, the word before, the word after; 0 is none."""
     h = word_hashes(data, s, e)
-    out = np.zeros((4, len(h)), _U)
-    out[0] = h
-    out[1] = mix(word_hashes(data, s, np.minimum(e, s + PREFIX)) ^ _SALTS[1])
-    out[1][e - s <= PREFIX] = 0
-    out[2, 1:] = mix(h[:-1] ^ _SALTS[2])
-    out[3, :-1] = mix(h[1:] ^ _SALTS[3])
-    inner = first[:-1][np.diff(first) > 0]
-    out[2][inner] = 0
-    out[3][first[1:][np.diff(first) > 0] - 1] = 0
+    full = np.diff(first) > 0
+    out = []
+    for template in wanted:
+        if template == 0:
+            row = h
+        elif template == 1:
+            row = mix(word_hashes(data, s, np.minimum(e, s + PREFIX)) ^ _SALTS[1])
+            row[e - s <= PREFIX] = 0
+        else:
+            row = np.zeros_like(h)
+            if template == 2:
+                row[1:] = mix(h[:-1] ^ _SALTS[2])
+                row[first[:-1][full]] = 0
+            else:
+                row[:-1] = mix(h[1:] ^ _SALTS[3])
+                row[first[1:][full] - 1] = 0
+        out.append(row)
     return out
 
 
@@ -89,8 +98,8 @@ class Model:
     transitions: np.ndarray
     layer: np.ndarray
 
-    def emission(self, feats: np.ndarray) -> np.ndarray:
-        out = np.full(feats.shape[1], self.bias)
+    def emission(self, feats: list[np.ndarray]) -> np.ndarray:
+        out = np.full(len(feats[0]), self.bias)
         if len(self.names):
             if not hasattr(self, "index"):
                 self.index = HashIndex(self.names)
@@ -100,11 +109,17 @@ class Model:
                 out[hit] += self.weights[at[hit]]
         return out
 
-    def odds(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def odds(self, feats: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         """Log-odds of each token's marginal."""
         f, b = Chain(first).run(self.emission(feats), self.transitions)
         return f + b
 
+    def summary(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Summaries of the texts in the only column."""
+        data, at = view(batch.column(0))
+        s, e, first = runs(data, at, LETTER)
+        return summaries(self.odds(features(data, s, e, first), first), first)
+
 
 def summaries(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text: constant, log-odds of any toxic token, the largest of one token, log of
@@ -147,13 +162,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     data, at = view(texts)
     s, e, first = runs(data, at, LETTER)
     base = np.log((toxic @ weight + 0.5) / ((1 - toxic) @ weight + 0.5))
-    feats = features(data, s, e, first)
-    owner = np.repeat(np.arange(len(toxic)), np.diff(first))
+    owner = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
     pos, neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
 
     def frequencies(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different hashes, and how many toxic and clean texts have them."""
-        order = np.lexsort((owner, row))
+        order = np.argsort(row, kind="stable")  # owners rise within a hash
         h, o = row[order], owner[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
@@ -164,7 +178,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     if not len(s) or not toxic.any() or toxic.all():
         return Model(np.zeros(0, _U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([base, 0, 0, 0, 0, 0]))
     tags = np.zeros(len(s), bool)
-    for row in feats[:2]:
+    for template in (0, 1):
+        row = features(data, s, e, first, (template,))[0]
         names, a, b = frequencies(row)
         share = pos / (pos + neg)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -182,10 +197,18 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     take = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in some])
     first_ = np.concatenate([[0], np.cumsum(cuts[some + 1] - cuts[some])])
     tags_ = tags[take]
-    names, counts = np.unique(feats[:, take], return_counts=True)
-    vocabulary = names[(counts >= least) & (names != 0)]
-    index = np.searchsorted(vocabulary, feats[:, take]).clip(max=max(0, len(vocabulary) - 1))
-    index = np.where(vocabulary[index] == feats[:, take], index, len(vocabulary)) if len(vocabulary) else np.zeros_like(index)
+    del owner, listed
+    feats = [features(data, s, e, first, (k,))[0][take] for k in range(4)]
+    vocabulary = []
+    for row in feats:
+        names, counts = np.unique(row, return_counts=True)
+        vocabulary.append(names[(counts >= least) & (names != 0)])
+    vocabulary = np.unique(np.concatenate(vocabulary))
+    index = []
+    for row in feats:
+        at = np.searchsorted(vocabulary, row).clip(max=max(0, len(vocabulary) - 1)).astype(np.int32)
+        index.append(np.where(vocabulary[at] == row, at, np.int32(len(vocabulary))) if len(vocabulary) else at)
+    del feats
     chain, w, t = Chain(first_), np.zeros(len(vocabulary) + 1), np.zeros((2, 2))
     bias = float(np.log(tags.mean() + 1e-6)) - 1  # an unknown word is rarely toxic
     speed = np.full(len(w), 1.0)
@@ -193,7 +216,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     inner[first_[:-1]] = False
     cur = np.flatnonzero(inner)
     for _ in range(epochs):
-        x = w[index].sum(axis=0) + bias
+        x = sum(w[row] for row in index) + bias
         f, b_ = chain.run(x, t)
         gap = tags_ - _sigmoid(f + b_)
         grad = sum(np.bincount(row, gap, len(w)) for row in index) - 0.05 * w
@@ -208,11 +231,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
         t = t + (0.5 * (seen - expected) / np.sqrt(len(cur) * np.maximum(seen, 1))).reshape(2, 2)
     keep = np.abs(w[:-1]) > 0.2
     model = Model(vocabulary[keep], w[:-1][keep], bias, t, np.zeros(6))
-    model.layer = _logistic(summaries(model.odds(feats, first), first), toxic, weight)
+    table = pa.table({"t": texts})
+    model.layer = _logistic(np.concatenate([model.summary(b) for part in table.to_batches(256) for b in chunks(part, "t")]), toxic, weight)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on labelled rows whose crc32(id as text) is no multiple of 5.
 
     At most ``max_rows`` rows of either label are used, those with the least
@@ -232,20 +256,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, text: str =
     return fit(pa.concat_arrays([t.cast(pa.large_string()) for t in taken]), y, weight)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``row_id, score`` and ``spans`` (start, end in code points, end exclusive; p: the largest marginal).
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
+
+
+def annotate(docs: DataFrame, model: Model, text: str = "text", score: str = "toxic_score", spans: str = "toxic_spans") -> DataFrame:
+    """All columns of ``docs``, and ``score`` and ``spans`` (start, end in code points, end exclusive; p: the largest marginal).
 
     Each whole text is scored by itself from its text alone.  A null or empty
-    text has no spans and the score of a text without toxic tokens.
+    text has no spans and the score of a text without toxic tokens.  Columns
+    of these names are an error of the caller; give others then.
     """
-    kind = docs.schema[row_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
+    if {score, spans} & set(docs.columns):
+        raise ValueError(f"{score} or {spans} is already a column")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its features are bounded by the training sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in chunks(whole, "__text", 4 << 20):
-                data, at = view(batch.column(1))
+            for batch in chunks(whole, text, 4 << 20):
+                data, at = view(batch.column(batch.schema.get_field_index(text)))
                 s, e, first = runs(data, at, LETTER)
                 odds = m.odds(features(data, s, e, first), first)
                 scores = _sigmoid(summaries(odds, first) @ m.layer)
@@ -263,10 +292,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_
                     ["start", "end", "p"],
                 )
                 bounds = np.searchsorted(owner[begin], np.arange(len(batch) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.ListArray.from_arrays(pa.array(bounds), found)], ["__id", "score", "spans"])
+                columns = [*batch.columns, pa.array(scores), pa.ListArray.from_arrays(pa.array(bounds), found)]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, score, spans])
 
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(spans, _SPANS)])
+    return docs.mapInArrow(work, schema)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """``row_id, score, spans`` of each row; see ``annotate``."""
     plain = docs.select(F.col(row_id).alias("__id"), F.col(text).alias("__text"))
-    return plain.mapInArrow(work, f"__id {kind}, score double, spans array<struct<start:long,end:long,p:double>>").withColumnRenamed("__id", row_id)
+    return annotate(plain, model, "__text", "score", "spans").select(F.col("__id").alias(row_id), "score", "spans")
 
 
 def held_out(row_id: str = "doc_id") -> Column:
