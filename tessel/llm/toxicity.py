@@ -37,12 +37,12 @@ LIMIT, SURE = 12.0, 1.0
 _SALTS = [_U(0), _U(0xA5A5), _U(0x5A5A5A), _U(0x3C3C3C3C)]
 
 
-def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, wanted: tuple[int, ...] = (0, 1, 2, 3)) -> list[np.ndarray]:
-    """Hashes of the tokens for each wanted template: the word, its prefix, the word before, the word after; 0 is none."""
+def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the tokens by template: the word, its prefix, the word before, the word after; 0 is none."""
     h = word_hashes(data, s, e)
     full = np.diff(first) > 0
     out = []
-    for template in wanted:
+    for template in range(4):
         if template == 0:
             row = h
         elif template == 1:
@@ -159,8 +159,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
 
 def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10.0, least: int = 6, epochs: int = 20) -> Model:
     """Fit a model to whole labelled texts; ``weight`` is the rows that a sampled row stands for."""
-    data, at = view(texts)
-    s, e, first = runs(data, at, LETTER)
+    table = pa.table({"t": texts})
+    parts, firsts = [], [np.zeros(1, np.int64)]
+    for part in table.to_batches():
+        for batch in chunks(part, "t"):
+            data, at = view(batch.column(0))
+            s, e, first = runs(data, at, LETTER)
+            parts.append(features(data, s, e, first))
+            firsts.append(first[1:] + firsts[-1][-1])
+    feats = [np.concatenate(rows) if parts else np.zeros(0, _U) for rows in (zip(*parts, strict=True) if parts else [[]] * 4)]
+    first = np.concatenate(firsts)
+    del parts, firsts
     base = np.log((toxic @ weight + 0.5) / ((1 - toxic) @ weight + 0.5))
     owner = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
     pos, neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
@@ -175,11 +184,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
         names, inverse = np.unique(h, return_inverse=True)
         return names, np.bincount(inverse, toxic[o], len(names)), np.bincount(inverse, 1 - toxic[o], len(names))
 
-    if not len(s) or not toxic.any() or toxic.all():
+    if not len(feats[0]) or not toxic.any() or toxic.all():
         return Model(np.zeros(0, _U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([base, 0, 0, 0, 0, 0]))
-    tags = np.zeros(len(s), bool)
-    for template in (0, 1):
-        row = features(data, s, e, first, (template,))[0]
+    tags = np.zeros(len(feats[0]), bool)
+    for row in feats[:2]:
         names, a, b = frequencies(row)
         share = pos / (pos + neg)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -198,7 +206,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     first_ = np.concatenate([[0], np.cumsum(cuts[some + 1] - cuts[some])])
     tags_ = tags[take]
     del owner, listed
-    feats = [features(data, s, e, first, (k,))[0][take] for k in range(4)]
+    feats = [row[take] for row in feats]
     vocabulary = []
     for row in feats:
         names, counts = np.unique(row, return_counts=True)
@@ -223,20 +231,20 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
         grad[-1] = 0
         speed += grad**2
         w += 0.5 * grad / np.sqrt(speed)
-        z = np.stack([f[cur - 1] * 0 + t[0, 0], t[0, 1] + x[cur] + b_[cur], f[cur - 1] + t[1, 0], f[cur - 1] + t[1, 1] + x[cur] + b_[cur]])
-        z = np.exp(z - z.max(axis=0))
-        expected = (z / z.sum(axis=0)).sum(axis=1)
+        ahead, here = f[cur - 1], x[cur] + b_[cur]
+        z = [np.full(len(cur), t[0, 0]), t[0, 1] + here, ahead + t[1, 0], ahead + t[1, 1] + here]
+        norm = np.logaddexp(np.logaddexp(z[0], z[1]), np.logaddexp(z[2], z[3]))
+        expected = np.array([np.exp(v - norm).sum() for v in z])
         prev, now = tags_[cur - 1], tags_[cur]
         seen = np.array([((1 - prev) * (1 - now)).sum(), ((1 - prev) * now).sum(), (prev * (1 - now)).sum(), (prev * now).sum()])
         t = t + (0.5 * (seen - expected) / np.sqrt(len(cur) * np.maximum(seen, 1))).reshape(2, 2)
     keep = np.abs(w[:-1]) > 0.2
     model = Model(vocabulary[keep], w[:-1][keep], bias, t, np.zeros(6))
-    table = pa.table({"t": texts})
-    model.layer = _logistic(np.concatenate([model.summary(b) for part in table.to_batches(256) for b in chunks(part, "t")]), toxic, weight)
+    model.layer = _logistic(np.concatenate([model.summary(b) for part in table.to_batches() for b in chunks(part, "t")]), toxic, weight)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on labelled rows whose crc32(id as text) is no multiple of 5.
 
     At most ``max_rows`` rows of either label are used, those with the least
