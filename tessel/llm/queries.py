@@ -70,7 +70,7 @@ def op5_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = f"""
+OP5_SQL = rf"""
 WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS html, {_WARC_BEGIN} + page_id * 10 AS t,
          '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id // 100) AS modified,
