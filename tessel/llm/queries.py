@@ -80,7 +80,7 @@ WITH p AS (
 canon AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
     || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
-    array_to_string(list_sort([x FOR x IN string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')
+    array_to_string(list_sort([x FOR x IN string_split(regexp_extract(rest, '\?(.*)$', 1), '&')
       IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid|sessionid)(=|$)')]), '&') AS q
   FROM p),
 full_ AS (SELECT page_id, t, tag, modified, strlen(html) AS n, place || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM canon),

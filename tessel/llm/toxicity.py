@@ -248,20 +248,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, text: str =
     """Fit on labelled rows whose crc32(id as text) is no multiple of 5.
 
     At most ``max_rows`` rows of either label are used, those with the least
-    hash of the text, and their weights make up for the rest.  Of several
-    labels for an id the largest counts; null labels and ids are left out.
+    hash of the id, and their weights make up for the rest.  Of several labels
+    for an id the largest counts; null labels and ids are left out.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(row_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
-    rows = docs.select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).join(known, "__id")
-    counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    taken = []
-    for y in (0, 1):  # two bounded samples
-        own = rows.where(F.col("__y") == y).orderBy(F.xxhash64("__text"), "__id").limit(max_rows)
-        taken.append(own.select("__text").toArrow().column(0).combine_chunks())
-    y = np.concatenate([np.full(len(t), float(k)) for k, t in enumerate(taken)])
-    weight = np.concatenate([np.full(len(t), counts.get(k, 0) / max(1, len(t))) for k, t in enumerate(taken)])
-    return fit(pa.concat_arrays([t.cast(pa.large_string()) for t in taken]), y, weight)
+    counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    taken = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_rows) for y in (0, 1)]
+    sample = F.broadcast(taken[0].unionAll(taken[1]))  # 2 * max_rows ids at most
+    rows = docs.select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
+    found = rows.dropDuplicates(["__id"]).orderBy("__y", "__id").select("__y", "__text").toArrow()
+    y = found.column(0).to_numpy().astype(np.float64)
+    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in found.column(1).chunks] or [pa.array([], pa.large_string())])
+    weight = np.array([counts.get(int(k), 0) for k in y]) / np.maximum(1, np.where(y == 1, (y == 1).sum(), (y == 0).sum()))
+    return fit(texts, y, weight)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
