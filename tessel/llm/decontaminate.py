@@ -79,8 +79,11 @@ def _terms(texts: pa.Array) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first, first[1:])]
 
 
-def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int) -> ItemIndex | None:
-    """Index of the items with ``least`` terms or more; None if there are none."""
+def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int, bounded: float) -> ItemIndex | None:
+    """Index of the items with ``least`` terms or more; None if there are none.
+
+    The terms that aren't followed add less than ``bounded`` to any item.
+    """
     q, a = _terms(questions), _terms(answers)
     keep = [i for i in range(len(ids)) if len(q[i]) + len(a[i]) >= least]
     if not keep:
@@ -98,11 +101,16 @@ def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int) -
         w = idf[k] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / lengths.mean()))
         item_terms.append(k)
         item_weights.append(w / w.sum())
-    rare = df <= max(COMMON * n, 2)
     term = np.concatenate(item_terms)
     weight = np.concatenate(item_weights)
     block = np.repeat(np.arange(n) // BLOCK, [len(x) for x in item_terms])
-    rest_item = np.array([w[~rare[t]].sum() for t, w in zip(item_terms, item_weights, strict=True)])
+    limit = max(COMMON * n, 2.0)
+    while True:
+        rare = df <= limit
+        rest_item = np.array([w[~rare[t]].sum() for t, w in zip(item_terms, item_weights, strict=True)])
+        if rest_item.max() < bounded:
+            break
+        limit *= 2
     rest = np.maximum.reduceat(rest_item, np.arange(0, n, BLOCK))
     item = np.repeat(np.arange(n), [len(x) for x in item_terms])
     order = np.lexsort((item, term))
@@ -202,7 +210,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     out = None
     for k in range(slices):
         part = listed.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(slices)) == k).orderBy("i", "q", "a").toArrow().combine_chunks()
-        index = build_index(part["i"].to_pylist(), pa.concat_arrays(part["q"].chunks or [pa.array([], pa.string())]), pa.concat_arrays(part["a"].chunks or [pa.array([], pa.string())]), least_terms)
+        index = build_index(part["i"].to_pylist(), pa.concat_arrays(part["q"].chunks or [pa.array([], pa.string())]), pa.concat_arrays(part["a"].chunks or [pa.array([], pa.string())]), least_terms, threshold / 2)
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)  # INDEX_ITEMS items at most

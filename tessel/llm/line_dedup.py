@@ -25,6 +25,8 @@ from tessel.llm.staging import drop, stage
 #: ``[\x20\x09-\x0D]``, the white space taken off both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
 _HASH = ["h1", "h2"]
+#: Columns that the operator adds; columns of the input with these names are replaced.
+ADDED = ("n_lines", "n_dropped", "kept")
 
 
 def line_key(line: Column) -> Column:
@@ -90,7 +92,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """``docs`` with lines found in ``min_docs`` or more documents taken out.
 
     Adds ``n_lines`` (before), ``n_dropped`` and ``kept`` (the other lines,
-    joined by newlines) and keeps all columns as they are.  A null or empty
+    joined by newlines); all columns but those of
+    these names stay as they are.  A null or empty
     text is one empty line; a key under ``min_chars`` code points never counts
     as frequent, so empty lines stay.  Each row counts as a document, so
     repeated rows count each time.  An empty table gives an empty table.
@@ -99,7 +102,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     row = F.xxhash64(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))
     hashes = F.array_compact(F.array_distinct(F.transform(_lines(F.col(text)), lambda x: _hash(x, min_chars))))
     found = stage(
-        docs.select(row.alias("__row"), F.inline(hashes)).withColumn("__batch", F.pmod("__row", F.lit(batches)).cast("int")),
+        docs.select(row.alias("__tessel_row"), F.inline(hashes)).withColumn("__batch", F.pmod("__tessel_row", F.lit(batches)).cast("int")),
         "line-hashes",
         "__batch",
     )
@@ -109,16 +112,16 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     frequent = runs.finish()
     gone = (
         found.join(frequent, _HASH, "left_semi")
-        .groupBy("__row")
-        .agg(F.collect_set(F.struct(*_HASH)).alias("__gone"))
+        .groupBy("__tessel_row")
+        .agg(F.collect_set(F.struct(*_HASH)).alias("__tessel_gone"))
     )
     lines = _lines(F.col(text))
-    rest = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__gone"), _hash(x, min_chars)), F.lit(True)))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(rest)
-    out = docs.withColumn("__row", row).join(gone, "__row", "left").withColumn("__kept", kept)
+    rest = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__tessel_gone"), _hash(x, min_chars)), F.lit(True)))
+    kept = F.when(F.col("__tessel_gone").isNull(), lines).otherwise(rest)
+    out = docs.withColumn("__tessel_row", row).join(gone, "__tessel_row", "left").withColumn("__tessel_kept", kept)
     return out.select(
-        *(F.col(c) for c in docs.columns),
+        *(F.col(c) for c in docs.columns if c not in ADDED),
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.array_join("__kept", "\n").alias("kept"),
+        (F.size(lines) - F.size("__tessel_kept")).cast("long").alias("n_dropped"),
+        F.array_join("__tessel_kept", "\n").alias("kept"),
     )

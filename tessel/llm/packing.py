@@ -174,7 +174,8 @@ def pack(pieces: DataFrame, tokens: int = 1024, documents: int = 1024, attention
 
     With the default capacities for documents and attention only tokens bind.
     Equal lengths are interchangeable; which piece of a length goes where
-    follows from its place in the staged table.  No pieces give no rows.
+    follows from its place in the staged table.  Other columns stay, but for
+    ``sequence_id`` and ``offset``, which are replaced.  No pieces give no rows.
     """
     spark = pieces.sparkSession
     placed = stage(pieces.withColumn("__part", F.spark_partition_id()), "pieces")
@@ -182,15 +183,15 @@ def pack(pieces: DataFrame, tokens: int = 1024, documents: int = 1024, attention
     stock = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `tokens` rows at most
     rows = plan(stock, tokens, documents, attention, weights, score)
     # Its rows follow from the number of lengths, not from the number of pieces.
-    places = spark.createDataFrame(rows, "length long, rank_from long, rank_to long, first long, m long, offset_from long")
+    places = spark.createDataFrame(rows, "__length long, __from long, __to long, __first long, __m long, __offset long")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "__part", F.coalesce(before, F.lit(0)).alias("__base"))
     own = F.row_number().over(Window.partitionBy("length", "__part").orderBy("ids_crc32"))
     ranked = placed.withColumn("__own", own - 1).join(base, ["length", "__part"]).withColumn("__rank", F.col("__own") + F.col("__base"))
-    inside = (ranked["length"] == places["length"]) & (ranked["__rank"] >= places["rank_from"]) & (ranked["__rank"] < places["rank_to"])
-    r = F.col("__rank") - F.col("rank_from")
+    inside = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
+    r = F.col("__rank") - F.col("__from")
     return ranked.join(F.broadcast(places), inside).select(
-        *(ranked[c] for c in pieces.columns),
-        (F.col("first") + F.floor(r / F.col("m"))).cast("long").alias("sequence_id"),
-        (F.col("offset_from") + (r % F.col("m")) * ranked["length"]).cast("long").alias("offset"),
+        *(c for c in pieces.columns if c not in ("sequence_id", "offset")),
+        (F.col("__first") + F.floor(r / F.col("__m"))).cast("long").alias("sequence_id"),
+        (F.col("__offset") + (r % F.col("__m")) * F.col("length")).cast("long").alias("offset"),
     )

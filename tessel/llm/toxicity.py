@@ -157,7 +157,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return beta
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10.0, least: int = 6, epochs: int = 20) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10.0, least: int = 6, epochs: int = 25) -> Model:
     """Fit a model to whole labelled texts; ``weight`` is the rows that a sampled row stands for."""
     table = pa.table({"t": texts})
     parts, firsts = [], [np.zeros(1, np.int64)]
@@ -170,7 +170,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
     feats = [np.concatenate(rows) if parts else np.zeros(0, _U) for rows in (zip(*parts, strict=True) if parts else [[]] * 4)]
     first = np.concatenate(firsts)
     del parts, firsts
-    base = np.log((toxic @ weight + 0.5) / ((1 - toxic) @ weight + 0.5))
+    base = np.log((toxic @ weight + 0.5) / ((1 - toxic) @ weight + 1.0))  # without labels, nothing is toxic
     owner = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
     pos, neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
 
@@ -230,7 +230,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, odds: float = 10
         grad = sum(np.bincount(row, gap, len(w)) for row in index) - 0.05 * w
         grad[-1] = 0
         speed += grad**2
-        w += 0.5 * grad / np.sqrt(speed)
+        w += 2.5 * grad / np.sqrt(speed)
         ahead, here = f[cur - 1], x[cur] + b_[cur]
         z = [np.full(len(cur), t[0, 0]), t[0, 1] + here, ahead + t[1, 0], ahead + t[1, 1] + here]
         norm = np.logaddexp(np.logaddexp(z[0], z[1]), np.logaddexp(z[2], z[3]))
@@ -272,10 +272,9 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", score: str = "to
 
     Each whole text is scored by itself from its text alone.  A null or empty
     text has no spans and the score of a text without toxic tokens.  Columns
-    of these names are an error of the caller; give others then.
+    of the input with these names are replaced.
     """
-    if {score, spans} & set(docs.columns):
-        raise ValueError(f"{score} or {spans} is already a column")
+    docs = docs.drop(score, spans)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its features are bounded by the training sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
