@@ -231,9 +231,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_i
     body = keyed(docs, text, row_id).select("r1", "r2", "__text")
     runs = stage(body.mapInArrow(_runs(length), "anchor long, content long, r1 long, r2 long, first long, n int, offset int"), "runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    shared = shared.where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("same"))
+    # Written first: a join with the aggregate itself would keep all runs of an anchor in one task.
+    shared = stage(shared.where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "shared-anchors")
     found = stage(runs.join(shared, "anchor").select("r1", "r2", "first", "n", "offset", "same"), "shared-runs")
-    drop(runs)
+    drop(runs, shared)
     free_shuffles(spark)
 
     listed = found.where(~F.col("same")).groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "n", "offset")).alias("runs"))
