@@ -141,7 +141,8 @@ def _regions(nodes: DataFrame) -> DataFrame:
     settled = []
     for depth in DEPTHS:
         keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
-        sizes = keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
+        # Written first: a join with the aggregate itself would keep all of a region in one task.
+        sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
         found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
         if depth == DEPTHS[-1]:
             settled.append(found)
@@ -156,7 +157,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
 
 
 def _centre_pairs(regions: DataFrame) -> DataFrame:
-    centre = regions.groupBy("tree", "prefix").agg(F.max(F.struct("weight", "fp", *_SKETCH)).alias("c"))
+    centre = stage(regions.groupBy("tree", "prefix").agg(F.max(F.struct("weight", "fp", *_SKETCH)).alias("c")), "centres")
     both = regions.join(centre, ["tree", "prefix"]).where((F.col("fp") != F.col("c.fp")) & _near("", "c."))
     return both.select(*_pair("fp", "c.fp")).distinct()
 
@@ -224,7 +225,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
         extra = confirm(more)
         roots = components(links.unionAll(extra))
     named = digest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id"))
+    least = stage(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id")), "components")
     free_shuffles(spark)
     out = named.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("__id")).otherwise(F.col("component_id")))
     return out.select(F.col("__id").alias(row_id), F.col("n").alias("n_shingles"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
