@@ -169,7 +169,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     looked = looked.withColumn("resolution", resolution).withColumn("good", F.col("resolution").isin("resolved", "unchecked"))
     looked = looked.withColumn("response_id", F.when(F.col("good"), F.col("r.record_id")))
     own = events.where(~F.col("full")).groupBy("record_id").agg(F.first("headers").alias("own"))
-    stored = events.where("full").groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored"))
+    # Written first: a join with the aggregate itself would keep all revisits of one response in one task.
+    stored = stage(events.where("full").groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored")), "warc-responses")
     both = looked.join(own, "record_id", "left").join(stored, "response_id", "left")
     empty = F.create_map().cast("map<string,string>")
     merged = F.map_zip_with(
