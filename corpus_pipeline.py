@@ -36,7 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, repeated rows included, one document stays: the one with the least id."""
     keyed = _keyed(docs)
-    kept = near_dedup.link_near_copies(keyed.select("__key", "text"), percent=85, row_id="__key").where("kept").select("__key").distinct()
+    kept = near_dedup.link_near_copies(keyed.select("__key", "text"), percent=80, row_id="__key").where("kept").select("__key").distinct()
     kept = kept.select(F.col("__key.doc_id").alias("__id"), F.col("__key.hash").alias("__hash"))
     same = F.col("__key.doc_id").eqNullSafe(F.col("__id")) & (F.col("__key.hash") == F.col("__hash"))
     return keyed.join(kept, same, "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -39,8 +39,6 @@ DEPTHS = (4, 5, 6, 7, 8)
 REGION = 256
 #: Nodes sorted together where even whole labels are equal; neighbours are sought in parts of this size.
 PART = 4096
-#: Most differing sketch positions of 128; at a similarity of 0.85 they are 14 on average, with a deviation of 3.6.
-FAR = 32
 _U = np.uint64
 _MULT, _XOR = _odd(5, TREES * DEPTH), _odd(6, TREES * DEPTH)
 _ROLL = _odd(7, WIDTH)
@@ -124,11 +122,18 @@ def _compare(percent: int):
     return work
 
 
-def _near(a: str, b: str) -> Column:
-    """Differing positions of two sketches (structs or tables named by prefix)."""
+def far(percent: int) -> int:
+    """Differing sketch positions of 128 that a pair at the threshold exceeds by five deviations of chance alone."""
+    n = TREES * DEPTH
+    p = (1 - percent / 100) * 0.75
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
+
+
+def _near(a: str, b: str, most: int) -> Column:
+    """Whether two sketches (structs or tables named by prefix) differ in ``most`` positions or fewer."""
     s = [(F.col(f"{a}{k}"), F.col(f"{b}{k}")) for k in _SKETCH]
     x = [p.bitwiseXOR(q) for p, q in s]
-    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3])) <= FAR
+    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3])) <= most
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -156,18 +161,18 @@ def _regions(nodes: DataFrame) -> DataFrame:
     return stage(reduce(DataFrame.unionByName, settled).join(weight, "fp"), "forest")
 
 
-def _centre_pairs(regions: DataFrame) -> DataFrame:
+def _centre_pairs(regions: DataFrame, most: int) -> DataFrame:
     centre = stage(regions.groupBy("tree", "prefix").agg(F.max(F.struct("weight", "fp", *_SKETCH)).alias("c")), "centres")
-    both = regions.join(centre, ["tree", "prefix"]).where((F.col("fp") != F.col("c.fp")) & _near("", "c."))
+    both = regions.join(centre, ["tree", "prefix"]).where((F.col("fp") != F.col("c.fp")) & _near("", "c.", most))
     return both.select(*_pair("fp", "c.fp")).distinct()
 
 
-def _neighbour_pairs(regions: DataFrame, reach: int = 2) -> DataFrame:
+def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame:
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / PART))
     order = Window.partitionBy("tree", "prefix", part).orderBy("label", "fp")
     next_ = [F.lead(F.struct("fp", *_SKETCH), k).over(order) for k in range(1, reach + 1)]
     rows = regions.select("fp", *_SKETCH, F.array(*next_).alias("near"))
-    rows = rows.select("fp", *_SKETCH, F.explode("near").alias("c")).where(F.col("c").isNotNull() & _near("", "c."))
+    rows = rows.select("fp", *_SKETCH, F.explode("near").alias("c")).where(F.col("c").isNotNull() & _near("", "c.", most))
     return rows.select(*_pair("fp", "c.fp")).distinct()
 
 
@@ -181,7 +186,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     null id take part; a component of such rows alone has a null id and all of
     it is kept.  Repeated rows are in one component.  No rows give no rows.
     """
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, far(percent)
     kind = docs.schema[row_id].dataType.simpleString()
     body = docs.select(F.col(row_id).alias("__id"), F.xxhash64(text).alias("__th"), F.col(text).alias("__text"))
     digest = stage(
@@ -189,8 +194,8 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct(*_SKETCH, "labels")).alias("x")).select("fp", "x.*")
     forest = _regions(nodes)
-    first = stage(_centre_pairs(forest), "pairs")
-    near = stage(_neighbour_pairs(forest), "pairs")
+    first = stage(_centre_pairs(forest, most), "pairs")
+    near = stage(_neighbour_pairs(forest, most), "pairs")
     free_shuffles(spark)
 
     wanted = first.unionAll(near).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -220,7 +225,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     rest = forest.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = centre.join(named.withColumnRenamed("fp", "cfp"), "cfp", "left").select("tree", "prefix", F.coalesce("root", "cfp").alias("croot"))
     rest = rest.join(heads, ["tree", "prefix"]).where(F.col("root") != F.col("croot")).drop("root", "croot")
-    more = stage(rooted(near, roots).unionAll(_centre_pairs(rest)).distinct(), "pairs")
+    more = stage(rooted(near, roots).unionAll(_centre_pairs(rest, most)).distinct(), "pairs")
     if not more.isEmpty():
         extra = confirm(more)
         roots = components(links.unionAll(extra))
