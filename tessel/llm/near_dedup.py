@@ -13,8 +13,9 @@
    for each node, not all pairs.
 4. Candidates whose sketches are far apart go; the others are compared on
    their full shingle sets.  Links give connected components.  Neighbours are
-   compared only where the centres left their nodes in different components,
-   and so are the centres of what remained of a region.
+   compared only where the centres left their nodes in different components.
+5. Where a region still has nodes of different components, all pairs of such
+   nodes are compared on their full sets, block of nodes by block of nodes.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ DEPTHS = (4, 5, 6, 7, 8)
 REGION = 256
 #: Nodes sorted together where even whole labels are equal; neighbours are sought in parts of this size.
 PART = 4096
+#: Shingles of a block and columns of its matrix.
+VOLUME, COLUMNS = 1 << 20, 4096
 _U = np.uint64
 _MULT, _XOR = _odd(5, TREES * DEPTH), _odd(6, TREES * DEPTH)
 _ROLL = _odd(7, WIDTH)
@@ -122,6 +125,74 @@ def _compare(percent: int):
     return work
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole, "t"):
+            values, bounds = shingles(*view(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["fp", "shingles"])
+
+
+def _joins(rows: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of roots that links between the two sides (or within the first, if it's alone) bring together."""
+    names: dict[bytes, int] = {}
+    code = np.array([names.setdefault(r, len(names)) for r in rows["root"].to_pylist()])
+    sets = [np.frombuffer(x, _U) for x in rows["shingles"].to_pylist()]
+    n = np.array([len(x) for x in sets])
+    right = np.flatnonzero(rows["side"].to_numpy())
+    left = np.setdiff1d(np.arange(len(n)), right, assume_unique=True)
+    right = right if len(right) else left
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(n)), n)[count[word] > 1], count > 1
+    word = (np.cumsum(shared) - 1)[word[shared[word]]]
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    same = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(word, [low, low + COLUMNS])
+        has = np.zeros((len(n), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        has[owner[a:b], word[a:b] - low] = 1
+        same += (has[left] @ has[right].T).astype(np.int64)
+    alike = 100 * same >= percent * (n[left][:, None] + n[right] - same)
+    i, j = np.nonzero(alike & (code[left][:, None] != code[right]))
+    up, out, roots = list(range(len(names))), [], list(names)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in {*zip(code[left[i]].tolist(), code[right[j]].tolist())}:
+        tx, ty = top(x), top(y)
+        if tx != ty:
+            up[tx] = ty
+            out.append((roots[x], roots[y]))
+    return out
+
+
+def _blocks(percent: int):
+    """Links between components in rows that are sorted by ``cell``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            out = []
+            cell = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)] if len(cell) else [0]
+            for a, b in zip(cut, cut[1:]):
+                if held and cell[a] != last:
+                    out += _joins(pa.Table.from_batches(held), percent)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = cell[a]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        if held:
+            out = _joins(pa.Table.from_batches(held), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return work
+
+
 def far(percent: int) -> int:
     """Differing sketch positions of 128 that a pair at the threshold exceeds by five deviations of chance alone."""
     n = TREES * DEPTH
@@ -142,7 +213,7 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def _regions(nodes: DataFrame) -> DataFrame:
     """(tree, prefix, label, fp, sketch, size) with prefixes of adaptive length; lone nodes are left out."""
-    rows = nodes.select("fp", *_SKETCH, F.posexplode("labels").alias("tree", "label"))
+    rows = nodes.select("fp", "n", *_SKETCH, F.posexplode("labels").alias("tree", "label"))
     settled = []
     for depth in DEPTHS:
         keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
@@ -156,7 +227,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
         large = found.where(F.col("size") > REGION)
         if large.isEmpty():
             break
-        rows = large.select("fp", *_SKETCH, "tree", "label")
+        rows = large.select("fp", "n", *_SKETCH, "tree", "label")
     weight = reduce(DataFrame.unionByName, settled).groupBy("fp").agg(F.sum("size").alias("weight"))
     return stage(reduce(DataFrame.unionByName, settled).join(weight, "fp"), "forest")
 
@@ -176,6 +247,33 @@ def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame
     return rows.select(*_pair("fp", "c.fp")).distinct()
 
 
+def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, side, fp, root): pairs of blocks in which all nodes of a region with different roots meet.
+
+    A root with more than ``REGION`` nodes of a region has blocks of its own,
+    which needn't be compared with each other.
+    """
+    region, block = ["tree", "prefix"], ["tree", "prefix", "own", "part"]
+    nodes = forest.select(*region, "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = stage(nodes, "rooted")
+    counts = stage(nodes.groupBy(*region, "root").agg(F.count("*").alias("m"), F.sum("n").alias("volume")), "region-roots")
+    open_ = counts.groupBy(*region).agg(F.count("*").alias("k")).where("k > 1").select(*region)
+    # Mixed blocks have the empty name.
+    counts = counts.join(open_, region).withColumn("own", F.when(F.col("m") > REGION, F.col("root")).otherwise(F.lit(b"")))
+    parts = counts.groupBy(*region, "own").agg(F.ceil(F.greatest(F.sum("m") / REGION, F.sum("volume") / VOLUME)).alias("parts"))
+    parts = stage(parts, "region-parts")
+    owns = stage(counts.select(*region, "root", "own").join(parts, [*region, "own"]), "region-owns")
+    nodes = nodes.join(owns, [*region, "root"]).select(*region, "own", F.pmod(F.xxhash64("fp", F.lit(1)), "parts").alias("part"), "fp", "root")
+    blocks = parts.select(*region, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    other = blocks.select(*region, F.col("own").alias("own2"), F.col("part").alias("part2"))
+    first, second = F.struct("own", "part"), F.struct(F.col("own2").alias("own"), F.col("part2").alias("part"))
+    pairs = blocks.join(other, region).where(((F.col("own") == b"") | (F.col("own") != F.col("own2"))) & (first <= second))
+    pairs = stage(pairs.withColumn("cell", F.xxhash64(*block, "own2", "part2")), "cells")
+    left = pairs.select(*block, "cell", F.lit(0).alias("side"))
+    right = pairs.where(first != second).select(*region, F.col("own2").alias("own"), F.col("part2").alias("part"), "cell", F.lit(1).alias("side"))
+    return stage(nodes.join(left.unionAll(right), block).select("cell", "side", "fp", "root"), "cell-nodes")
+
+
 def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Components of documents whose 5-word shingle sets are alike.
 
@@ -192,17 +290,18 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     digest = stage(
         body.mapInArrow(_digest, f"__id {kind}, __th long, fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"), "minhash"
     )
-    nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct(*_SKETCH, "labels")).alias("x")).select("fp", "x.*")
+    nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
     forest = _regions(nodes)
     first = stage(_centre_pairs(forest, most), "pairs")
     near = stage(_neighbour_pairs(forest, most), "pairs")
     free_shuffles(spark)
 
-    wanted = first.unionAll(near).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    holder = digest.groupBy("fp").agg(F.min(F.struct("__th", "__id")).alias("h"))
-    holder = wanted.join(holder, "fp").select("fp", F.col("h.__th").alias("__th"), F.col("h.__id").alias("hid"))
-    texts = body.join(holder, "__th").where(F.col("__id").eqNullSafe(F.col("hid"))).select("fp", F.col("__text").alias("t"))
-    texts = stage(texts, "texts")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        holder = digest.groupBy("fp").agg(F.min(F.struct("__th", "__id")).alias("h"))
+        holder = wanted.join(holder, "fp").select("fp", F.col("h.__th").alias("__th"), F.col("h.__id").alias("hid"))
+        return body.join(holder, "__th").where(F.col("__id").eqNullSafe(F.col("hid"))).select("fp", F.col("__text").alias("t"))
+
+    texts = stage(texts_of(first.unionAll(near).select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "texts")
     free_shuffles(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -219,16 +318,16 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
 
     links = confirm(first)
     roots = components(links)
-    # What the centre of a region did not take in has a centre of its own.
-    centre = forest.groupBy("tree", "prefix").agg(F.max(F.struct("weight", "fp")).alias("c")).select("tree", "prefix", F.col("c.fp").alias("cfp"))
-    named = roots.select(F.col("node").alias("fp"), "root")
-    rest = forest.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = centre.join(named.withColumnRenamed("fp", "cfp"), "cfp", "left").select("tree", "prefix", F.coalesce("root", "cfp").alias("croot"))
-    rest = rest.join(heads, ["tree", "prefix"]).where(F.col("root") != F.col("croot")).drop("root", "croot")
-    more = stage(rooted(near, roots).unionAll(_centre_pairs(rest, most)).distinct(), "pairs")
+    more = stage(rooted(near, roots), "pairs")
     if not more.isEmpty():
-        extra = confirm(more)
-        roots = components(links.unionAll(extra))
+        links = links.unionAll(confirm(more))
+        roots = components(links)
+    cells = _cells(forest, roots)
+    if not cells.isEmpty():
+        sets = texts_of(cells.select("fp").distinct()).dropDuplicates(["fp"]).mapInArrow(_sets, "fp binary, shingles binary")
+        dealt = cells.join(stage(sets, "sets"), "fp").select("cell", "side", "root", "shingles").repartition("cell").sortWithinPartitions("cell")
+        roots = components(links.unionAll(stage(dealt.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "links")))
+    free_shuffles(spark)
     named = digest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id")), "components")
     free_shuffles(spark)

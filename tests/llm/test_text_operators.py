@@ -149,6 +149,32 @@ def test_near_dedup_of_many_near_copies_of_one_text(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
+def cloud(own, base, pairs=100):
+    """Pairs of texts that differ in up to ``2 * own`` of 800 words, from one template; texts of two pairs differ in up to ``2 * base`` more."""
+    rng = random.Random(17)
+    template = prose(rng, 800).split()
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(0, 800, 5), n):
+            words[k] = f"new{rng.random()}"
+        return words
+
+    rows = []
+    for _ in range(pairs):
+        start = changed(template, base)
+        rows += [" ".join(changed(start, own)), " ".join(changed(start, own))]
+    return list(enumerate(rows))
+
+
+def test_near_dedup_of_pairs_in_a_dense_cloud(spark):
+    rows = cloud(6, 2)
+    got = near_dedup.link_near_copies(table(spark, rows), 85).collect()
+    want = brute_components(rows, 85)
+    assert 60 < len({c for _, _, c in want}) < 100
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("shards", [4])
 def test_sharding_law(spark, corpus, shards):
     rows = [(i, t) for i, t in corpus if i != 48] * 4 + [(100, "same text")] * 200
