@@ -3,7 +3,9 @@
 1. One pass makes each document's set of word shingles, its fingerprint and a
    MinHash signature.  Documents with equal sets are one node from here on, so
    exact copies cost nothing more, however many there are.
-2. A signature is cut into ``TREES`` labels, each a tree's sort key.  Nodes that
+2. A signature is cut into ``TREES`` labels, each a tree's sort key; how many
+   values the shortest prefix has, and at low thresholds how many trees there
+   are, follows from the threshold.  Nodes that
    share a label's prefix form a region.  A region with more than ``REGION``
    nodes is split by one more label value, down to the whole label: dense
    regions get long prefixes, sparse ones short prefixes.
@@ -35,9 +37,10 @@ from tessel.llm.textbytes import _odd, chunks, mix, view, word_hashes, words
 
 WIDTH = 5
 TREES, DEPTH = 16, 8
-#: Shortest and longest prefix, in label values, and the most nodes of a region before it is split.
-DEPTHS = (4, 5, 6, 7, 8)
+#: Most nodes of a region before it is split.
 REGION = 256
+#: Largest share of pairs at the threshold that may have no prefix in common in any tree.
+MISS = 2e-5
 #: Nodes sorted together where even whole labels are equal; neighbours are sought in parts of this size.
 PART = 4096
 #: Shingles of a block and columns of its matrix.
@@ -83,29 +86,45 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _SKETCH = ["s0", "s1", "s2", "s3"]
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in chunks(whole, "__text"):
-            values, bounds = shingles(*view(batch.column(2)))
-            n = np.diff(bounds)
-            full = np.flatnonzero(n)
-            marks = [xxhash.xxh3_128_digest(values[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:])]
-            labels = [None] * len(n)
-            planes = np.zeros((len(n), 4), np.int64)
-            if len(full):
-                sig = signatures(values, np.append(bounds[:-1][full], len(values)))
-                cut = (mix(sig) >> _U(32)).astype(">u4")
-                raw = cut.tobytes()
-                step = 4 * DEPTH
-                for j, i in enumerate(full):
-                    at = j * TREES * step
-                    labels[i] = [raw[at + t * step : at + (t + 1) * step] for t in range(TREES)]
-                bits = np.stack([cut & 1, (cut >> 1) & 1], axis=1).astype(np.uint8)
-                planes[full] = np.packbits(bits, axis=2).reshape(len(full), 32).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(n), *(pa.array(planes[:, k]) for k in range(4)), pa.array(labels, pa.list_(pa.binary()))],
-                ["__id", "__th", "fp", "n", *_SKETCH, "labels"],
-            )
+def shape(percent: int) -> tuple[int, int]:
+    """Trees and shortest prefix at which pairs of that similarity are missed by ``MISS`` at most; below 9 all values are trees."""
+    for depth in range(DEPTH, 0, -1):
+        if (1 - (percent / 100) ** depth) ** TREES <= MISS:
+            return TREES, depth
+    most = TREES * DEPTH
+    return next((n for n in range(TREES, most) if (1 - percent / 100) ** n <= MISS), most), 1
+
+
+def _digest(trees: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            yield from _digest_one(whole, trees)
+
+    return work
+
+
+def _digest_one(whole: pa.RecordBatch, trees: int) -> Iterator[pa.RecordBatch]:
+    step = 4 * (TREES * DEPTH // trees)
+    for batch in chunks(whole, "__text"):
+        values, bounds = shingles(*view(batch.column(2)))
+        n = np.diff(bounds)
+        full = np.flatnonzero(n)
+        marks = [xxhash.xxh3_128_digest(values[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:])]
+        labels = [None] * len(n)
+        planes = np.zeros((len(n), 4), np.int64)
+        if len(full):
+            sig = signatures(values, np.append(bounds[:-1][full], len(values)))
+            cut = (mix(sig) >> _U(32)).astype(">u4")
+            raw = cut.tobytes()
+            for j, i in enumerate(full):
+                at = j * 4 * TREES * DEPTH
+                labels[i] = [raw[at + t * step : at + (t + 1) * step] for t in range(trees)]
+            bits = np.stack([cut & 1, (cut >> 1) & 1], axis=1).astype(np.uint8)
+            planes[full] = np.packbits(bits, axis=2).reshape(len(full), 32).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(n), *(pa.array(planes[:, k]) for k in range(4)), pa.array(labels, pa.list_(pa.binary()))],
+            ["__id", "__th", "fp", "n", *_SKETCH, "labels"],
+        )
 
 
 def _compare(percent: int):
@@ -211,16 +230,16 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b")]
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
+def _regions(nodes: DataFrame, shortest: int, longest: int = DEPTH) -> DataFrame:
     """(tree, prefix, label, fp, sketch, size) with prefixes of adaptive length; lone nodes are left out."""
     rows = nodes.select("fp", "n", *_SKETCH, F.posexplode("labels").alias("tree", "label"))
     settled = []
-    for depth in DEPTHS:
+    for depth in range(shortest, longest + 1):
         keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
         # Written first: a join with the aggregate itself would keep all of a region in one task.
         sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
         found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
-        if depth == DEPTHS[-1]:
+        if depth == longest:
             settled.append(found)
             break
         settled.append(found.where(F.col("size") <= REGION))
@@ -284,14 +303,14 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     null id take part; a component of such rows alone has a null id and all of
     it is kept.  Repeated rows are in one component.  No rows give no rows.
     """
-    spark, most = docs.sparkSession, far(percent)
+    spark, most, (trees, depth) = docs.sparkSession, far(percent), shape(percent)
     kind = docs.schema[row_id].dataType.simpleString()
     body = docs.select(F.col(row_id).alias("__id"), F.xxhash64(text).alias("__th"), F.col(text).alias("__text"))
     digest = stage(
-        body.mapInArrow(_digest, f"__id {kind}, __th long, fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"), "minhash"
+        body.mapInArrow(_digest(trees), f"__id {kind}, __th long, fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"), "minhash"
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
-    forest = _regions(nodes)
+    forest = _regions(nodes, depth, TREES * DEPTH // trees)
     first = stage(_centre_pairs(forest, most), "pairs")
     near = stage(_neighbour_pairs(forest, most), "pairs")
     free_shuffles(spark)

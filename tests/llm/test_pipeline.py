@@ -68,6 +68,32 @@ def test_stages_decide_as_they_must(spark, folder):
     assert max(total.values()) <= 1024
 
 
+def test_near_copies_from_80_to_85_in_a_dense_cloud(spark):
+    rng = random.Random(4)
+    text = lambda words: " ".join(words)
+    template = [f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(800)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(0, 800, 5), n):
+            words[k] = f"new{rng.random()}"
+        return words
+
+    rows = []
+    for k in range(100):
+        start = changed(template, 5)
+        rows += [text(changed(start, 6 + k % 3)), text(changed(start, 6 + k % 3))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+    linked = [(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == set(root) and 50 < len(set(root)) < 150
+
+
 def test_run_gives_the_last_stage(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 

@@ -175,6 +175,12 @@ def test_near_dedup_of_pairs_in_a_dense_cloud(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("percent", [10, 30, 50, 80, 82, 85, 95, 100])
+def test_trees_follow_the_threshold(percent):
+    trees, depth = near_dedup.shape(percent)
+    assert trees * depth <= near_dedup.TREES * near_dedup.DEPTH and (1 - (percent / 100) ** depth) ** trees <= 2e-5
+
+
 @pytest.mark.parametrize("shards", [4])
 def test_sharding_law(spark, corpus, shards):
     rows = [(i, t) for i, t in corpus if i != 48] * 4 + [(100, "same text")] * 200
