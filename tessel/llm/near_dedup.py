@@ -3,12 +3,10 @@
 1. One pass makes each document's set of word shingles, its fingerprint and a
    MinHash signature.  Documents with equal sets are one node from here on, so
    exact copies cost nothing more, however many there are.
-2. A signature is cut into ``TREES`` labels, each a tree's sort key; how many
-   values the shortest prefix has, and at low thresholds how many trees there
-   are, follows from the threshold.  Nodes that
-   share a label's prefix form a region.  A region with more than ``REGION``
-   nodes is split by one more label value, down to the whole label: dense
-   regions get long prefixes, sparse ones short prefixes.
+2. A signature is cut into ``TREES`` labels, each a tree's sort key.  Nodes that
+   share a label's prefix form a region.  How many values the prefix has, and at
+   low thresholds how many trees there are, follows from the threshold alone, so
+   what else the table holds doesn't decide whether two documents meet.
 3. Candidates are the neighbours in each region's sorted order, the nodes with
    the longest common prefix, and the region's centre, the node that shares
    most regions with others.  A group of near copies thus gives a few pairs
@@ -23,7 +21,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +34,8 @@ from tessel.llm.textbytes import _odd, chunks, mix, view, word_hashes, words
 
 WIDTH = 5
 TREES, DEPTH = 16, 8
-#: Most nodes of a region before it is split.
-REGION = 256
+#: Most nodes of a region's block; the blocks of a region are compared pair by pair.
+REGION = 1024
 #: Largest share of pairs at the threshold that may have no prefix in common in any tree.
 MISS = 2e-5
 #: Nodes sorted together where even whole labels are equal; neighbours are sought in parts of this size.
@@ -87,7 +84,7 @@ _SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def shape(percent: int) -> tuple[int, int]:
-    """Trees and shortest prefix at which pairs of that similarity are missed by ``MISS`` at most; below 9 all values are trees."""
+    """Trees and length of their prefixes at which pairs of that similarity are missed by ``MISS`` at most; below 9 all values are trees."""
     for depth in range(DEPTH, 0, -1):
         if (1 - (percent / 100) ** depth) ** TREES <= MISS:
             return TREES, depth
@@ -230,25 +227,14 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b")]
 
 
-def _regions(nodes: DataFrame, shortest: int, longest: int = DEPTH) -> DataFrame:
-    """(tree, prefix, label, fp, sketch, size) with prefixes of adaptive length; lone nodes are left out."""
+def _regions(nodes: DataFrame, depth: int) -> DataFrame:
+    """(tree, prefix, label, fp, sketch, size, weight) with prefixes of ``depth`` values; lone nodes are left out."""
     rows = nodes.select("fp", "n", *_SKETCH, F.posexplode("labels").alias("tree", "label"))
-    settled = []
-    for depth in range(shortest, longest + 1):
-        keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
-        # Written first: a join with the aggregate itself would keep all of a region in one task.
-        sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
-        found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
-        if depth == longest:
-            settled.append(found)
-            break
-        settled.append(found.where(F.col("size") <= REGION))
-        large = found.where(F.col("size") > REGION)
-        if large.isEmpty():
-            break
-        rows = large.select("fp", "n", *_SKETCH, "tree", "label")
-    weight = reduce(DataFrame.unionByName, settled).groupBy("fp").agg(F.sum("size").alias("weight"))
-    return stage(reduce(DataFrame.unionByName, settled).join(weight, "fp"), "forest")
+    keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
+    # Written first: a join with the aggregate itself would keep all of a region in one task.
+    sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
+    found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
+    return stage(found.join(found.groupBy("fp").agg(F.sum("size").alias("weight")), "fp"), "forest")
 
 
 def _centre_pairs(regions: DataFrame, most: int) -> DataFrame:
@@ -310,7 +296,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
         body.mapInArrow(_digest(trees), f"__id {kind}, __th long, fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"), "minhash"
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
-    forest = _regions(nodes, depth, TREES * DEPTH // trees)
+    forest = _regions(nodes, depth)
     first = stage(_centre_pairs(forest, most), "pairs")
     near = stage(_neighbour_pairs(forest, most), "pairs")
     free_shuffles(spark)

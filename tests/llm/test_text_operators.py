@@ -181,6 +181,14 @@ def test_trees_follow_the_threshold(percent):
     assert trees * depth <= near_dedup.TREES * near_dedup.DEPTH and (1 - (percent / 100) ** depth) ** trees <= 2e-5
 
 
+def test_large_regions_keep_all_their_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    common = b"".join(bytes([k] * 4) for k in range(4))
+    nodes = [(bytes([k]), 9, 0, 0, 0, 0, [common + bytes([k] * 16)]) for k in range(20)]  # alone from the fifth value on
+    nodes = spark.createDataFrame(nodes, "fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>")
+    assert sorted(bytes(r["fp"])[0] for r in near_dedup._regions(nodes, 4).collect()) == list(range(20))
+
+
 @pytest.mark.parametrize("shards", [4])
 def test_sharding_law(spark, corpus, shards):
     rows = [(i, t) for i, t in corpus if i != 48] * 4 + [(100, "same text")] * 200
