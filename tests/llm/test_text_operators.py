@@ -181,6 +181,13 @@ def test_trees_follow_the_threshold(percent):
     assert trees * depth <= near_dedup.TREES * near_dedup.DEPTH and (1 - (percent / 100) ** depth) ** trees <= 2e-5
 
 
+def test_what_sketches_and_first_rounds_drop_is_compared_with_its_text(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "far", lambda percent: -1)  # no centre or neighbour is near
+    words = prose(random.Random(6), 200).split()
+    rows = [(k, " ".join([*words[:-1], f"last{k}"])) for k in range(6)]
+    assert {r["component_id"] for r in near_dedup.link_near_copies(table(spark, rows), 85).collect()} == {0}
+
+
 def test_large_regions_keep_all_their_nodes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION", 4)
     common = b"".join(bytes([k] * 4) for k in range(4))
