@@ -1,90 +1,127 @@
 """Frequent-line removal over levelled sorted runs of line hashes.
 
 Documents come in batches.  A batch is reduced to (line hash, documents that
-have the line) and joined, hash order against hash order, with the run of
-lines already known to be frequent; those need no more counting and are left
-out (the merge-anti-join).  The rest becomes a new sorted run at level 0.
-When a level holds ``fan_out`` runs they are merged into one run of the next
-level, their counts added up.  After the last batch all runs are merged, and
-every line that reached ``min_docs`` is frequent.
-
-Only built-in DataFrame functions are used.  A line never leaves its task as
-text: what is shuffled is 16 bytes of hash, so one line in a third of all
-documents costs a count per task.
+have the line), dealt into the buckets that all runs share and anti-joined,
+hash order against hash order, with the run of lines already known to be
+frequent; those need no more counting.  The rest becomes a sorted run at level
+0.  Where a level has a run already, the two are merged, bucket by bucket, into
+one run of the next level, their counts added up.  After the last batch all
+runs are merged, and every line that reached ``min_docs`` is frequent.
+
+Runs are bucketed tables, so a batch is exchanged once and merging needs no
+exchange at all.  Only built-in DataFrame functions are used.  What is shuffled
+of a line is its hash and place; a line in a third of all documents costs a
+count per task.  All steps on one text are linear in its length.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.staging import drop, stage
+from tessel.llm.staging import drop, partitions, shared_dir, stage
 
 #: ``[\x20\x09-\x0D]``, the white space taken off both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
 _HASH = ["h1", "h2"]
+_ROW = ["__tessel_id", "__tessel_text"]
 #: Columns that the operator adds; columns of the input with these names are replaced.
 ADDED = ("n_lines", "n_dropped", "kept")
 
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends and with A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = F.btrim(line, F.lit(SPACE))
+    plain = F.octet_length(key) == F.char_length(key)  # all ASCII, where lower() is right and fast
+    return F.when(plain, F.lower(key)).otherwise(F.translate(key, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits for a key, null for a key that is too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row, also where ``use`` names it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The elements of an array but those at the sorted places ``gone``: what lies between them, put together."""
+
+    def between(at: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(at) - 1)
+        return _bound(lines, lambda x: F.flatten(F.transform(starts, lambda i: F.slice(x, F.get(at, i - 1) + 2, F.get(at, i) - F.get(at, i - 1) - 1))))
+
+    return _bound(F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines))), between)
 
 
 class LineRuns:
-    """Document counts of line hashes, kept as sorted runs in levels."""
+    """Document counts of line hashes, kept as sorted runs, one in each level at most."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fan_out: int = 3) -> None:
-        self.min_docs, self.fan_out = min_docs, fan_out
-        self.levels: list[list[DataFrame]] = [[]]
+    def __init__(self, spark: SparkSession, min_docs: int) -> None:
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = partitions(spark)
+        self.levels: list[DataFrame | None] = []
         self.frequent: DataFrame | None = None
 
     def _run(self, counts: DataFrame, label: str) -> DataFrame:
-        return stage(counts.sortWithinPartitions(*_HASH), label)
+        """Write a sorted run: a bucketed table in the shared folder."""
+        name = f"tessel_{label}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
+        counts.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).option("compression", "zstd").saveAsTable(name)
+        run = self.spark.table(name)
+        run._run_name, run._staged_path = name, path
+        return run
+
+    def _free(self, *runs: DataFrame | None) -> None:
+        for run in runs:
+            if run is not None:
+                self.spark.sql(f"DROP TABLE IF EXISTS {run._run_name}")
+                drop(run)
 
     def add(self, hashes: DataFrame) -> None:
         """Add a batch: one row (h1, h2) for each document and different line."""
         counts = hashes.groupBy(*_HASH).agg(F.count("*").alias("docs"))
         if self.frequent is not None:
             counts = counts.join(self.frequent.hint("merge"), _HASH, "left_anti")
-        self.levels[0].append(self._run(counts, "line-run-0"))
-        level = 0
-        while len(self.levels[level]) >= self.fan_out:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._compact(self.levels[level], level + 1))
-            self.levels[level] = []
-            level += 1
-
-    def _compact(self, runs: list[DataFrame], level: int) -> DataFrame:
-        """Merge runs; lines that are frequent by now go to the frequent run."""
-        merged = stage(reduce(DataFrame.unionAll, runs).groupBy(*_HASH).agg(F.sum("docs").alias("docs")), "line-merge")
-        enough = merged.where(F.col("docs") >= self.min_docs).select(*_HASH)
-        old = self.frequent
-        self.frequent = self._run(enough if old is None else old.unionAll(enough), "line-frequent")
-        rest = self._run(merged.where(F.col("docs") < self.min_docs), f"line-run-{level}")
-        drop(merged, *runs, *([old] if old is not None else []))
+        self._put(self._run(counts, "run"))
+
+    def _put(self, run: DataFrame) -> None:
+        for level, other in enumerate(self.levels):
+            if other is None:
+                self.levels[level] = run
+                return
+            self.levels[level] = None
+            run = self._merge(other, run)
+        self.levels.append(run)
+
+    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Merge two runs; lines that are frequent by now go to the frequent run."""
+        merged = a.hint("merge").join(b.withColumnRenamed("docs", "more"), _HASH, "full")
+        merged = merged.select(*_HASH, (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+        rest = self._run(merged.where(F.col("docs") < self.min_docs), "run")
+        self._enough(merged)
+        self._free(a, b)
         return rest
 
+    def _enough(self, counts: DataFrame) -> None:
+        enough, old = counts.where(F.col("docs") >= self.min_docs).select(*_HASH), self.frequent
+        if old is not None:
+            enough = old.hint("merge").join(enough, _HASH, "full")
+        self.frequent = self._run(enough, "frequent")
+        self._free(old)
+
     def finish(self) -> DataFrame:
-        """Compact everything; the run of frequent lines (h1, h2)."""
-        runs = [r for level in self.levels for r in level]
-        rest = self._compact(runs, len(self.levels))
-        drop(rest)
-        self.levels = [[]]
+        """Merge everything; the run of frequent lines (h1, h2)."""
+        left = [r for r in self.levels if r is not None]
+        while len(left) > 1:
+            left.append(self._merge(left.pop(0), left.pop(0)))
+        for only in left:  # a lone batch has met no other
+            self._enough(only)
+        self._free(*left)
+        self.levels = []
         return self.frequent
 
 
@@ -92,36 +129,35 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """``docs`` with lines found in ``min_docs`` or more documents taken out.
 
     Adds ``n_lines`` (before), ``n_dropped`` and ``kept`` (the other lines,
-    joined by newlines); all columns but those of
-    these names stay as they are.  A null or empty
-    text is one empty line; a key under ``min_chars`` code points never counts
-    as frequent, so empty lines stay.  Each row counts as a document, so
-    repeated rows count each time.  An empty table gives an empty table.
+    joined by newlines); all columns but those of these names stay as they
+    are.  A null or empty text is one empty line; a key under ``min_chars``
+    code points never counts as frequent, so empty lines stay.  Each row
+    counts as a document, so repeated rows count each time, and all of them
+    stay.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    row = F.xxhash64(F.coalesce(F.col(row_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))
-    hashes = F.array_compact(F.array_distinct(F.transform(_lines(F.col(text)), lambda x: _hash(x, min_chars))))
+    body = F.coalesce(F.col(text), F.lit(""))
+    row = dict(zip(_ROW, (F.xxhash64(F.coalesce(F.col(row_id).cast("string"), F.lit("null"))), F.xxhash64(body)), strict=True))
+    # Hashed before the lines are taken apart; in one select the hashes would be worked out for each line.
+    lines = docs.select(*(c.alias(n) for n, c in row.items()), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    lines = lines.select(*_ROW, "row", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    key = lines.select(*_ROW, "row", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     found = stage(
-        docs.select(row.alias("__tessel_row"), F.inline(hashes)).withColumn("__batch", F.pmod("__tessel_row", F.lit(batches)).cast("int")),
+        key.select(*_ROW, "row", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), F.pmod(_ROW[1], F.lit(batches)).cast("int").alias("__batch")),
         "line-hashes",
         "__batch",
     )
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
-        runs.add(found.where(F.col("__batch") == b).select(*_HASH))
-    frequent = runs.finish()
-    gone = (
-        found.join(frequent, _HASH, "left_semi")
-        .groupBy("__tessel_row")
-        .agg(F.collect_set(F.struct(*_HASH)).alias("__tessel_gone"))
-    )
-    lines = _lines(F.col(text))
-    rest = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__tessel_gone"), _hash(x, min_chars)), F.lit(True)))
-    kept = F.when(F.col("__tessel_gone").isNull(), lines).otherwise(rest)
-    out = docs.withColumn("__tessel_row", row).join(gone, "__tessel_row", "left").withColumn("__tessel_kept", kept)
-    return out.select(
+        runs.add(found.where(F.col("__batch") == b).select("row", *_HASH).distinct())
+    # Read as plain files: without the buckets' fixed dealing, a join may split what one hot line brings.
+    frequent = spark.read.schema("h1 long, h2 long").parquet(runs.finish()._staged_path)
+    gone = found.join(frequent, _HASH, "left_semi").groupBy(*_ROW).agg(F.sort_array(F.collect_set("place")).alias("__tessel_gone"))
+    n = F.size(_lines(F.col(text)))
+    rest = F.when(F.col("__tessel_gone").isNull(), body).otherwise(F.array_join(_without(_lines(F.col(text)), F.col("__tessel_gone")), "\n"))
+    return docs.withColumns(row).join(gone, _ROW, "left").select(
         *(F.col(c) for c in docs.columns if c not in ADDED),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("__tessel_kept")).cast("long").alias("n_dropped"),
-        F.array_join("__tessel_kept", "\n").alias("kept"),
+        n.cast("long").alias("n_lines"),
+        F.coalesce(F.size("__tessel_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        rest.alias("kept"),
     )

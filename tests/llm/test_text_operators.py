@@ -98,13 +98,33 @@ def test_line_dedup_equals_brute_force(spark, corpus):
 
 
 def test_line_runs_add_up_over_batches(spark):
-    runs = line_dedup.LineRuns(spark, 4, fan_out=2)
+    runs = line_dedup.LineRuns(spark, 4)
     for _ in range(5):
         runs.add(spark.createDataFrame([(1, 1), (2, 2)], "h1 long, h2 long"))
     runs.add(spark.createDataFrame([(3, 3)] * 3, "h1 long, h2 long"))
     assert sorted(r["h1"] for r in runs.finish().collect()) == [1, 2]
 
 
+def test_line_runs_are_merged_without_an_exchange(spark):
+    runs = line_dedup.LineRuns(spark, 4)
+    runs.add(spark.range(50).selectExpr("id h1", "id h2"))
+    a = runs.levels[0]
+    plan = a.hint("merge").join(a.withColumnRenamed("docs", "more"), ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_one_very_long_text(spark):
+    n = 200_000  # quadratic steps would take minutes
+    rows = [(1, "\n".join(f"Line {k % 90_000}" for k in range(n)))] + [(k, "\n".join(f" line {i * 7}" for i in range(9_000)) + f"\n{k}") for k in range(2, 13)]
+    rows.append((20, "only\n\nline 14"))
+    gone = {f"line {i * 7}" for i in range(9_000)}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.drop_frequent_lines(table(spark, rows)).collect()}
+    for i, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if x.strip().lower() not in gone]
+        assert got[i] == (len(lines), len(lines) - len(kept), "\n".join(kept))
+
+
 def brute_components(rows, percent):
     sets = []
     for _, t in rows:
