@@ -232,6 +232,24 @@ def test_sharding_law(spark, corpus, shards):
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
 
 
+def test_rows_go_to_the_range_of_the_found_splitters(spark):
+    rng = random.Random(4)
+    keys = [tuple(rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(3)) for _ in range(300)]
+    keys += [(7, 7, k) for k in range(200)] + [(7, k, 0) for k in range(100)] + [(-7, -7, -7)] * 50  # hot texts, hot rows, one key for all
+    sizes = [rng.randint(1, 30) for _ in keys]
+    keyed = spark.createDataFrame([(*k, n) for k, n in zip(keys, sizes, strict=True)], "__k0 long, __k1 long, __k2 long, size long")
+    borders = sharding.splitters(keyed, 12, 1e-4)
+    whole = lambda k: sum((x % (1 << 64)) << (64 * (2 - i)) for i, x in enumerate(k))
+    at = {k: sum(b <= whole(k) for b in borders) for k in keys}
+    got = sharding._in_range(keyed, borders).collect()
+    assert all(r["__range"] == at[r["__k0"], r["__k1"], r["__k2"]] for r in got) and len(got) == len(keys)
+    share, most = sum(sizes) / 12, max(sizes)
+    heavy = sum(n for k, n in zip(keys, sizes, strict=True) if k == (-7, -7, -7))  # can't be cut by any key
+    for k, b in enumerate(borders, 1):
+        below = sum(n for key, n in zip(keys, sizes, strict=True) if whole(key) < b)
+        assert abs(below - k * share) <= max(most, heavy if whole((-7, -7, -7)) < b else 0, heavy)
+
+
 def test_packing(spark, corpus):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
