@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import decontaminate, media_png, secrets, toxicity, warc_revisit
+from tessel.llm import decontaminate, media_png, queries, secrets, toxicity, warc_revisit
 
 WORDS = [a + b for a in "ka lo mi nu pe ra so ti".split() for b in "dan fer gol hin jun".split()]
 
@@ -91,14 +91,66 @@ def test_random_strings_are_added_and_words_are_not(spark):
     text = dict(rows)
     hit = sum(any(text[k][s["start"] : s["end"]] == v for s in out[k]) for k, v in planted.items())
     assert hit >= 27 and not any(out[k] for k in range(30, 200)) and out[300] == out[301] == out[305] == out[306] == out[None] == []
-    assert [s["kind"] for k in (302, 303, 304) for s in out[k]] == [0, 1, 2]
+    assert [s["kind"] for k in (302, 303, 304) for s in out[k] if s["kind"] < 3] == [0, 1, 2]
+    assert [s["kind"] for s in out[304]] == [2, 3]  # the pattern's match is confirmed
+
+
+def brute_base(text):
+    """The contract's spans, match by match and without any shortcut."""
+    patterns = [
+        (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ]
+    found = [(m.start(), k, m.end()) for k, (p, good) in enumerate(patterns) for m in re.finditer(p, text, re.ASCII) if good(m)]
+    return sorted(found)
+
+
+def test_registered_secret_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    bits = ['password', ' = "', "token", "API_KEY", "apikey:", "'", "AKIA", "é", "\n", " ", ":", "=", "ſecret=", "abcdef0123456789", "ABCDEFGH12345678", "-._+/=", "Kelvin", "x" * 9, "0" * 33, "\u212a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", "token=" + "a1" * 200_000 + " AKIA" + "Z" * 12]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(7, texts[7])]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_secrets(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    text = dict(rows)
+    for r in got:
+        want = brute_base(text[r["doc_id"]] or "")
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in want) for x in range(3)]
+        plain = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(plain.encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("random")] == [x for x in plain.split(",") if x]
 
 
-def test_battery():
+def test_battery_against_random_strings_and_text():
     rng = random.Random(0)
-    assert secrets.battery(b"a" * 40) < 1e-6 and secrets.battery(b"ab" * 30) < 1e-6
-    random_ = [secrets.battery("".join(rng.choice("0123456789abcdef") for _ in range(64)).encode()) for _ in range(300)]
+    assert secrets.battery("a" * 40)[0] < 1e-6 and secrets.battery("ab" * 30)[0] < 1e-6
+    random_ = [secrets.battery("".join(rng.choice("0123456789abcdef") for _ in range(64)))[0] for _ in range(300)]
     assert sum(p < 0.05 for p in random_) < 40
+    place = {c: k for k, c in enumerate(secrets.LETTERS)}
+    words = "".join(rng.choice(WORDS) for _ in range(20_000))
+    pairs = np.zeros((secrets._SIDE, secrets._SIDE))
+    np.add.at(pairs, ([place[c] for c in words[:-1]], [place[c] for c in words[1:]]), 1)
+    nulls = secrets.text_nulls(pairs)
+    against = lambda t: secrets.battery(t, nulls)[1]
+    starts = [rng.randrange(len(words) - 64) for _ in range(2000)]
+    assert sum(against(words[a : a + 40]) > 4 for a in starts) <= 4  # p-values of text are small as seldom as they should be
+    digits = secrets.LETTERS[:62]
+    short, long = ([against("".join(rng.choice(digits) for _ in range(n))) for _ in range(200)] for n in (24, 64))
+    assert np.median(short) > 1.5 and np.median(long) > 2 * np.median(short) - 1  # sharper with length
+
+
+def test_pairs_of_equal_letters_have_the_moments_of_the_formula():
+    rng = np.random.default_rng(1)
+    single = np.array([0.5, 0.3, 0.2])
+    null = secrets.Null.of(single, np.outer(single, single))
+    z = [secrets._deviations(secrets.statistics(rng.choice(3, 40, p=single), 3), 40, null) for _ in range(4000)]
+    assert np.abs(np.mean(z, axis=0)).max() < 0.1 and np.abs(np.std(z, axis=0) - 1).max() < 0.15
+
+
+def test_no_texts_have_no_secrets(spark):
+    assert secrets.find_secrets(docs_of(spark, [])).count() == 0
 
 
 def test_benjamini_hochberg_threshold():
