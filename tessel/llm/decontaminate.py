@@ -1,19 +1,25 @@
-"""Benchmark items in training passages: BM25 with block-max pruning, then overlap.
+"""Benchmark items in training passages: BM25 with block-max WAND, then overlap.
 
-The test items are indexed: for each term the items that have it, with the
-term's BM25 weight as a share of the item's score against itself, so that one
-threshold serves all items.  Items lie in blocks, and for each term and block
-the index keeps the largest weight.
+The test items are indexed: for each term the items that have it, in order of
+their numbers, with the term's BM25 weight as a share of the item's score
+against itself, so that one threshold serves all items.  Items lie in blocks,
+and the index keeps each term's largest weight, in all and by block.
 
 Every passage of every document is a query.  Passages are as long as two of
-the longest items and half overlap, so an item always lies whole in one.  The
-weights of the query's terms are added up by block; terms that a large share
-of the items have are not followed, as their sum over an item is bounded
-beforehand.  Only blocks whose bound reaches the threshold are scored item by
-item, so all passages and items above the threshold are found.
+the longest items and half overlap, so an item always lies whole in one.  A
+passage has a cursor in the list of each of its terms.  Sorted by the items
+that they stand at, the first cursor at which the largest weights add up to the
+threshold gives the pivot: no item before it can reach it.  If the weights of
+the pivot's block can't either, all cursors up to the pivot skip the block;
+else the pivot is scored.  All passages of a chunk take these steps together,
+as arrays, and a passage leaves when no pivot is left.
+
+Terms that a large share of the items have get no cursors, as their sum over an
+item is bounded beforehand; it is added to every bound.  All passages and items
+above the threshold are found.
 
 A hit counts if enough of the question's word triples and enough of the
-answer's stand in the passage.
+answer's stand in the passage.  Items of a few terms are found as phrases.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.staging import stage
 from tessel.llm.textbytes import HashIndex, chunks, mix, runs, view, word_hashes
 
 _U = np.uint64
@@ -34,8 +41,10 @@ TERM = np.zeros(256, bool)
 TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Terms that more than this share of the items have are bounded, not followed.
+#: Terms that more than this share of the items have are bounded, and have no cursors.
 COMMON = 0.1
+#: For sums of floats that are compared with the threshold.
+EPS = 1e-9
 #: Most items in one index; more items make more indexes, each sent out by itself.
 INDEX_ITEMS = 20_000
 
@@ -55,16 +64,17 @@ def _share(wanted: np.ndarray, passage: np.ndarray, there: np.ndarray) -> float:
 
 @dataclass
 class ItemIndex:
-    """Block-max index of items; arrays are sorted by term, then block or item."""
+    """Block-max index of items; postings are sorted by term, then item."""
 
     terms: HashIndex
-    rare: np.ndarray  # by term: whether its postings are followed
-    block_from: np.ndarray  # by term + 1: its (block, largest weight) entries
-    block: np.ndarray
+    rare: np.ndarray  # by term: whether its postings have cursors
+    top: np.ndarray  # by term: largest weight; 0 if not rare
+    block_key: np.ndarray  # term * blocks + block, of the rare terms
     block_max: np.ndarray
     rest: np.ndarray  # by block: most that the common terms add to an item
     post_from: np.ndarray  # by term + 1: its (item, weight) postings
     post: np.ndarray
+    post_key: np.ndarray  # term * (items + 1) + item
     post_weight: np.ndarray
     question: list[np.ndarray]  # by item: hashes of the terms in order
     answer: list[np.ndarray]
@@ -82,7 +92,7 @@ def _terms(texts: pa.Array) -> list[np.ndarray]:
 def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int, bounded: float) -> ItemIndex | None:
     """Index of the items with ``least`` terms or more; None if there are none.
 
-    The terms that aren't followed add less than ``bounded`` to any item.
+    The terms that have no cursors add less than ``bounded`` to any item.
     """
     q, a = _terms(questions), _terms(answers)
     keep = [i for i in range(len(ids)) if len(q[i]) + len(a[i]) >= least]
@@ -103,7 +113,6 @@ def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int, b
         item_weights.append(w / w.sum())
     term = np.concatenate(item_terms)
     weight = np.concatenate(item_weights)
-    block = np.repeat(np.arange(n) // BLOCK, [len(x) for x in item_terms])
     limit = max(COMMON * n, 2.0)
     while True:
         rare = df <= limit
@@ -111,22 +120,75 @@ def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int, b
         if rest_item.max() < bounded:
             break
         limit *= 2
-    rest = np.maximum.reduceat(rest_item, np.arange(0, n, BLOCK))
     item = np.repeat(np.arange(n), [len(x) for x in item_terms])
     order = np.lexsort((item, term))
-    post_from, post, post_weight = np.searchsorted(term[order], np.arange(len(names) + 1)), item[order], weight[order]
-    follow = rare[term]
-    term, weight, block = term[follow], weight[follow], block[follow]
-    order = np.lexsort((block, term))
-    term, weight, block = term[order], weight[order], block[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)]) if len(term) else np.zeros(0, np.int64)
-    block_max = np.maximum.reduceat(weight, new) if len(new) else weight
+    term, item, weight = term[order], item[order], weight[order]
+    post_from = np.searchsorted(term, np.arange(len(names) + 1))
+    top = np.where(rare, np.maximum.reduceat(weight, post_from[:-1]), 0.0)
+    blocks = -(-n // BLOCK)
+    key = (term * blocks + item // BLOCK)[rare[term]]
+    new = np.flatnonzero(np.r_[True, np.diff(key) != 0])[: len(key)]
+    block_max = np.maximum.reduceat(weight[rare[term]], new) if len(new) else np.zeros(0)
     return ItemIndex(
-        HashIndex(names), rare, np.searchsorted(term[new], np.arange(len(names) + 1)), block[new], block_max, rest,
-        post_from, post, post_weight, q, a, ids, int(lengths.max()),
+        HashIndex(names), rare, top, key[new], block_max, np.maximum.reduceat(rest_item, np.arange(0, n, BLOCK)),
+        post_from, item, term * (n + 1) + item, weight, q, a, ids, int(lengths.max()),
     )
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, values[i], 0.0)
+
+
+def wand(index: ItemIndex, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passages, items) that may reach ``threshold``: the pivots whose block bounds do.
+
+    ``passage, term`` are the different rare terms of each passage, by passage.
+    """
+    n, blocks = len(index.ids), len(index.rest)
+    must = threshold - EPS - index.rest.max()  # what terms with cursors have to bring
+    at = index.post_from[term]
+    here = index.post[at]
+    while len(passage):
+        order = np.argsort(passage * (n + 1) + here)
+        passage, term, at, here = passage[order], term[order], at[order], here[order]
+        first = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
+        size = np.diff(np.append(first, len(passage)))
+        owner = np.repeat(np.arange(len(first)), size)
+        total = np.cumsum(index.top[term])
+        total -= np.repeat(total[first] - index.top[term[first]], size)
+        # Cursors at the end of their lists stand at item n and can't be pivots.
+        enough = np.flatnonzero((total >= must) & (here < n))
+        pivot = np.full(len(first), n)
+        np.minimum.at(pivot, owner[enough], here[enough])
+        stays = (pivot < n)[owner] & (here < n)
+        if not stays.all():  # passages without a pivot are done, as are lists at their end
+            passage, term, at, here, owner = passage[stays], term[stays], at[stays], here[stays], owner[stays]
+            if not len(passage):
+                return
+        goal = pivot[owner]
+        upto = here <= goal
+        bound = np.zeros(len(pivot))
+        block = goal // BLOCK
+        np.add.at(bound, owner[upto], _at(index.block_key, term[upto] * blocks + block[upto], index.block_max))
+        good = (pivot < n) & (bound + index.rest[np.minimum(pivot, n - 1) // BLOCK] >= threshold - EPS)
+        if good.any():
+            whose = np.zeros(len(pivot), np.int64)
+            whose[owner] = passage
+            yield whose[good], pivot[good]
+        # Past the pivot if it was scored; else past its block, but not past a cursor that may add to the bound.
+        beyond = np.full(len(pivot), n)
+        np.minimum.at(beyond, owner[~upto], here[~upto])
+        target = np.where(good, pivot + 1, np.minimum((pivot // BLOCK + 1) * BLOCK, beyond))[owner[upto]]
+        t = term[upto]
+        moved = np.minimum(np.searchsorted(index.post_key, t * (n + 1) + target), index.post_from[t + 1])
+        at[upto] = moved
+        here[upto] = np.where(moved < index.post_from[t + 1], index.post[np.minimum(moved, len(index.post) - 1)], n)
+
+
 def search(index: ItemIndex, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, first term, last term + 1, item, score) of all passages that reach ``threshold``.
 
@@ -137,58 +199,80 @@ def search(index: ItemIndex, h: np.ndarray, first: np.ndarray, threshold: float)
     n = np.diff(first)
     strides = -(-n // stride)
     stride_first = np.concatenate([[0], np.cumsum(strides)])
-    owner = np.repeat(np.arange(len(n)), n)
-    unit = stride_first[owner] + (np.arange(len(h)) - first[owner]) // stride
-    at = np.flatnonzero(known >= 0)
-    at = at[index.rare[known[at]]]
-    t = known[at]
-    a, m = index.block_from[t], index.block_from[t + 1] - index.block_from[t]
-    entry = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-    blocks = len(index.rest)
-    cell = np.repeat(unit[at], m) * blocks + index.block[entry]
-    total = stride_first[-1] * blocks
-    if total <= 1 << 24:
-        bound = np.bincount(cell, index.block_max[entry], total)
-        cells = np.flatnonzero(bound)
-        bound = bound[cells]
-    else:
-        cells, inverse = np.unique(cell, return_inverse=True)
-        bound = np.bincount(inverse, index.block_max[entry], len(cells))
-    # A passage is a stride and the next one of the same text; its bound is the sum of both.
-    u, b = np.divmod(cells, blocks)
-    text_of = np.searchsorted(stride_first, u, "right") - 1
-    follows = cells + blocks
-    i = np.minimum(np.searchsorted(cells, follows), max(0, len(cells) - 1))
-    nxt = np.where((cells[i] == follows) & (u + 1 < stride_first[text_of + 1]), bound[i], 0) if len(cells) else bound
-    j = np.minimum(np.searchsorted(cells, cells - blocks), max(0, len(cells) - 1))
-    before = np.where((cells[j] == cells - blocks) & (u > stride_first[text_of]), bound[j], 0) if len(cells) else bound
-    hot = bound + nxt + index.rest[b] >= threshold
-    alone = (bound + index.rest[b] >= threshold) & (before == 0) & (u > stride_first[text_of])
-    cell = np.unique(np.concatenate([cells[hot], cells[alone] - blocks]))  # the latter begin with a stride that has none of the block
-    unit, block = np.divmod(cell, blocks)
-    if not len(cell):
+    place = np.flatnonzero(known >= 0)
+    owner = np.searchsorted(first, place, "right") - 1
+    unit = stride_first[owner] + (place - first[owner]) // stride
+    t = known[place]
+    # A passage is a stride and the next one of the same text; without enough in the largest weights it has no pivot.
+    single = np.bincount(unit, index.top[t], stride_first[-1])
+    double = single.copy()
+    double[:-1] += single[1:]
+    last = stride_first[1:][strides > 0] - 1
+    double[last] = single[last]
+    passages = np.flatnonzero(double >= threshold - EPS - index.rest.max())
+    if not len(passages):
         return
-    # Score the items of those blocks exactly: the different terms of each passage meet their postings.
-    passage = np.unique(unit)
-    owner = np.searchsorted(stride_first, passage, "right") - 1
-    begin = first[owner] + (passage - stride_first[owner]) * stride
-    end = np.minimum(begin + 2 * stride, first[owner + 1])
-    n = end - begin
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    seen = np.repeat(np.arange(len(passage)), n)[known[at] >= 0] * len(index.rare) + known[at][known[at] >= 0]
-    which, t = np.divmod(np.unique(seen), len(index.rare))
-    a, m = index.post_from[t], index.post_from[t + 1] - index.post_from[t]
-    entry = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-    which = np.repeat(which, m)
-    asked = np.zeros((len(passage), blocks), bool)
-    asked[np.searchsorted(passage, unit), block] = True
-    wanted = asked[which, index.post[entry] // BLOCK]
-    items = len(index.ids)
-    key, inverse = np.unique(which[wanted] * items + index.post[entry[wanted]], return_inverse=True)
-    score = np.bincount(inverse, index.post_weight[entry[wanted]], len(key))
-    for k in np.flatnonzero(score >= threshold):
-        w, item = divmod(int(key[k]), items)
-        yield int(owner[w]), int(begin[w]), int(end[w]), item, float(score[k])
+    terms = len(index.rare)
+    live = np.zeros(stride_first[-1] + 1, bool)
+    live[passages] = True
+    ends = np.zeros(stride_first[-1] + 1, bool)
+    ends[last + 1] = True  # the stride after begins another text
+    own = live[unit]
+    after = np.r_[False, live][unit] & ~ends[unit]
+    pair = np.unique(np.concatenate([unit[own] * terms + t[own], (unit[after] - 1) * terms + t[after]]))
+    which, t = np.divmod(pair, terms)
+    rare = index.rare[t]
+    for p, item in wand(index, which[rare], t[rare], threshold):
+        # All terms of the passage, common ones too, that the item has.
+        a, b = np.searchsorted(which, p), np.searchsorted(which, p, "right")
+        m = b - a
+        k = np.repeat(np.arange(len(p)), m)
+        e = np.arange(m.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m)
+        score = np.bincount(k, _at(index.post_key, t[e] * (len(index.ids) + 1) + item[k], index.post_weight), len(p))
+        for i in np.flatnonzero(score >= threshold):
+            text = int(np.searchsorted(stride_first, p[i], "right")) - 1
+            begin = int(first[text] + (p[i] - stride_first[text]) * stride)
+            yield text, begin, int(min(begin + 2 * stride, first[text + 1])), int(item[i]), float(score[i])
+
+
+_PHRASE = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], _U)
+
+
+def _phrases(h: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all ``m`` terms in a row."""
+    out = np.zeros(max(0, len(h) - m + 1), _U)
+    for k in range(m):
+        out += h[k : k + len(out)] * _PHRASE[k]
+    return mix(out + _U(m))
+
+
+def phrase_index(ids: list, questions: pa.Array, answers: pa.Array, least: int) -> dict[int, tuple[HashIndex, list[list]]]:
+    """By length: the items of fewer than ``least`` terms, as phrases; several items may share one."""
+    by_length: dict[int, dict[int, list]] = {}
+    for i, q, a in zip(ids, _terms(questions), _terms(answers), strict=True):
+        whole = np.concatenate([q, a])
+        if 0 < len(whole) < least:
+            by_length.setdefault(len(whole), {}).setdefault(int(_phrases(whole, len(whole))[0]), []).append(i)
+    out = {}
+    for m, found in by_length.items():
+        keys = sorted(found)
+        out[m] = HashIndex(np.array(keys, _U), 12), [found[k] for k in keys]
+    return out
+
+
+def phrase_hits(index: dict[int, tuple[HashIndex, list[list]]], h: np.ndarray, first: np.ndarray) -> dict[tuple, int]:
+    """How often each (text, item) with the whole phrase occurs."""
+    out: dict[tuple, int] = {}
+    for m, (names, ids) in index.items():
+        found = names.find(_phrases(h, m))
+        place = np.flatnonzero(found >= 0)
+        text = np.searchsorted(first, place, "right") - 1
+        inside = place + m <= first[text + 1]
+        pair, times = np.unique(text[inside] * len(ids) + found[place[inside]], return_counts=True)
+        for p, n in zip(pair.tolist(), times.tolist(), strict=True):
+            for i in ids[p % len(ids)]:
+                out[p // len(ids), i] = n
+    return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.6, least_terms: int = 6, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id", question: str = "question", answer: str = "answer") -> DataFrame:
@@ -197,9 +281,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     Returns ``row_id, item_id, passages`` (that hold the item), ``score`` (the
     best passage's BM25 score as a share of the item's score against itself),
     ``question_overlap`` and ``answer_overlap`` of that passage.  Items with
-    fewer than ``least_terms`` terms say nothing and are left out.  Null texts,
-    questions and answers are empty.  No documents or items give no rows;
-    repeated rows give repeated results.
+    fewer than ``least_terms`` terms are found where all their terms stand in a
+    row; ``passages`` counts these places, and the shares are 1.  Items without
+    terms are in no document.  Null texts, questions and answers are empty.  No
+    documents or items give no rows; repeated rows give repeated results; other
+    columns are ignored.  ``INDEX_ITEMS`` items are searched at a time, each
+    time in one pass over the documents.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[row_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
@@ -210,32 +297,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     out = None
     for k in range(slices):
         part = listed.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(slices)) == k).orderBy("i", "q", "a").toArrow().combine_chunks()
-        index = build_index(part["i"].to_pylist(), pa.concat_arrays(part["q"].chunks or [pa.array([], pa.string())]), pa.concat_arrays(part["a"].chunks or [pa.array([], pa.string())]), least_terms, threshold / 2)
-        if index is None:
+        id_type = part.schema.field("i").type
+        own = part["i"].to_pylist(), *(pa.concat_arrays(part[c].chunks or [pa.array([], pa.string())]) for c in "qa")
+        index, short = build_index(*own, least_terms, threshold / 2), phrase_index(*own, least_terms)
+        if index is None and not short:
             continue
-        shared = spark.sparkContext.broadcast(index)  # INDEX_ITEMS items at most
+        shared = spark.sparkContext.broadcast((index, short))  # about INDEX_ITEMS items
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, id_type=id_type) -> Iterator[pa.RecordBatch]:
+            ix, phrases = shared.value
             for whole in batches:
                 for batch in chunks(whole, "__text"):
                     data, at = view(batch.column(1))
                     s, e, first = runs(data, at, TERM)
                     h = word_hashes(data, s, e)
                     best: dict[tuple[int, int], tuple] = {}
-                    for text_, begin, end, item, score in search(ix, h, first, threshold):
+                    for text_, begin, end, item, score in search(ix, h, first, threshold) if ix else ():
                         passage = h[begin:end]
                         there = triples(passage)
                         q, a = _share(ix.question[item], passage, there), _share(ix.answer[item], passage, there)
                         if q >= overlap and a >= overlap:
                             old = best.get((text_, item), (0, 0.0, 0.0, 0.0))
                             best[text_, item] = (old[0] + 1, *max(old[1:], (score, q, a)))
-                    owners = pa.array([t for t, _ in best], pa.int64())
-                    columns = [pa.array([v[c] for v in best.values()], kind_) for c, kind_ in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-                    names = ["__id", "item_id", "passages", "score", "question_overlap", "answer_overlap"]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owners), pa.array([ix.ids[i] for _, i in best]).cast(pa.int64() if item_kind == "bigint" else None) if best else pa.array([], pa.int64() if item_kind == "bigint" else pa.string()), *columns], names)
+                    rows = [(t, ix.ids[i], *v) for (t, i), v in best.items()]
+                    rows += [(t, i, n, 1.0, 1.0, 1.0) for (t, i), n in phrase_hits(phrases, h, first).items()]
+                    kinds = (pa.int64(), id_type, pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                    columns = [pa.array([r[c] for r in rows], kind_) for c, kind_ in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], ["__id", "item_id", "passages", "score", "question_overlap", "answer_overlap"])
 
         found = plain.mapInArrow(work, schema)
+        if slices > 1:  # written, so that one index at a time is held
+            found = stage(found, "leaks")
+            shared.unpersist()
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = spark.createDataFrame([], schema)

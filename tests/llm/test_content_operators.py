@@ -70,6 +70,65 @@ def test_search_finds_all_above_the_threshold():
     assert {k for k in got if k not in want} == set()
 
 
+def test_wand_equals_scoring_every_item():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocabulary = [f"{w}{k}" for w in WORDS for k in range(6)]
+    pick = lambda n: " ".join(rng.choice(vocabulary if rng.random() < 0.7 else vocabulary[:12]) for _ in range(n))
+    questions = [pick(rng.randint(6, 25)) for _ in range(130)]
+    questions += questions[:5]  # ties
+    index = decontaminate.build_index(list(range(135)), pa.array(questions), pa.array([None] * 135, pa.string()), 3, 0.2)
+    assert 0 < index.rare.sum() < len(index.rare)
+    texts = [pick(rng.randint(0, 120)) + " " + rng.choice(questions) + " " + pick(9) for _ in range(60)] + ["", None, questions[7]]
+    hashed = decontaminate._terms(pa.array(texts))
+    h, first = np.concatenate(hashed), np.concatenate([[0], np.cumsum([len(x) for x in hashed])])
+    weights = np.zeros((len(index.rare), 135))
+    for k in range(len(index.rare)):
+        a, b = index.post_from[k : k + 2]
+        weights[k, index.post[a:b]] = index.post_weight[a:b]
+    for threshold in (0.45, 0.6, 0.9):
+        got = {(t, a, b, i): s for t, a, b, i, s in decontaminate.search(index, h, first, threshold)}
+        want = {}
+        for t in range(len(texts)):
+            for a in range(0, len(hashed[t]), index.longest):
+                b = min(a + 2 * index.longest, len(hashed[t]))
+                have = np.unique(index.terms.find(hashed[t][a:b]))
+                score = weights[have[have >= 0]].sum(axis=0)
+                want |= {(t, int(first[t] + a), int(first[t] + b), int(i)): score[i] for i in np.flatnonzero(score >= threshold)}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(s) for k, s in want.items()) and want
+
+
+def test_pivots_skip_most_items():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocabulary = [f"{w}{k}" for w in WORDS for k in range(99)]
+    questions = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(400)]
+    index = decontaminate.build_index(list(range(400)), pa.array(questions), pa.array([""] * 400), 3, 0.2)
+    passage = np.unique(index.terms.find(decontaminate._terms(pa.array([f"{questions[9]} {questions[300]}"]))[0]))
+    scored = [i for _, items in decontaminate.wand(index, np.zeros(len(passage), np.int64), passage, 0.6) for i in items.tolist()]
+    assert scored == [9, 300]
+
+
+def test_short_items_are_found_as_phrases(spark):
+    items = spark.createDataFrame([(1, "Alpha beta."), (2, "日本語の文"), (3, "beta"), (4, "..."), (5, "ALPHA  beta"), (6, "a b c d e")], "item_id long, text string")
+    rows = [(1, "x alpha\nBETA y alpha-beta"), (2, "alpha x beta"), (3, "日本語の文"), (4, "日本語"), (5, "a b c d"), (6, "e"), (7, "a b c d e f a b c d e"), (8, None), (9, "... alpha"), (9, "beta")]
+    found = decontaminate.find_leaks(docs_of(spark, rows), decontaminate.split_item(items)).collect()
+    got = sorted((r["doc_id"], r["item_id"], r["passages"]) for r in found)
+    assert got == [(1, 1, 2), (1, 3, 2), (1, 5, 2), (2, 3, 1), (3, 2, 1), (7, 6, 2), (9, 3, 1)]
+
+
+def test_indexes_in_slices_find_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(15))) for k in range(20)]
+    docs = docs_of(spark, [(k, prose(rng, 30) + " " + items[k % 20][1]) for k in range(30)])
+    listed = decontaminate.split_item(spark.createDataFrame(items, "item_id long, text string"))
+    once = sorted(tuple(r)[:2] for r in decontaminate.find_leaks(docs, listed).collect())
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 6)
+    assert sorted(tuple(r)[:2] for r in decontaminate.find_leaks(docs, listed).collect()) == once and len(once) == 30
+
+
 def test_no_items_or_documents(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs_of(spark, [(1, "a b c")]), decontaminate.split_item(items)).count() == 0
