@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.graph import components
-from tessel.llm.staging import free_shuffles, stage
+from tessel.llm.staging import drop, free_shuffles, stage
 from tessel.llm.textbytes import _odd, chunks, mix, view, word_hashes, words
 
 WIDTH = 5
@@ -234,13 +234,17 @@ def _regions(nodes: DataFrame, depth: int) -> DataFrame:
     # Written first: a join with the aggregate itself would keep all of a region in one task.
     sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
     found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
-    return stage(found.join(found.groupBy("fp").agg(F.sum("size").alias("weight")), "fp"), "forest")
+    forest = stage(found.join(found.groupBy("fp").agg(F.sum("size").alias("weight")), "fp"), "forest")
+    drop(sizes, found)
+    return forest
 
 
 def _centre_pairs(regions: DataFrame, most: int) -> DataFrame:
     centre = stage(regions.groupBy("tree", "prefix").agg(F.max(F.struct("weight", "fp", *_SKETCH)).alias("c")), "centres")
     both = regions.join(centre, ["tree", "prefix"]).where((F.col("fp") != F.col("c.fp")) & _near("", "c.", most))
-    return both.select(*_pair("fp", "c.fp")).distinct()
+    pairs = stage(both.select(*_pair("fp", "c.fp")).distinct(), "pairs")
+    drop(centre)
+    return pairs
 
 
 def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame:
@@ -249,7 +253,7 @@ def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame
     next_ = [F.lead(F.struct("fp", *_SKETCH), k).over(order) for k in range(1, reach + 1)]
     rows = regions.select("fp", *_SKETCH, F.array(*next_).alias("near"))
     rows = rows.select("fp", *_SKETCH, F.explode("near").alias("c")).where(F.col("c").isNotNull() & _near("", "c.", most))
-    return rows.select(*_pair("fp", "c.fp")).distinct()
+    return stage(rows.select(*_pair("fp", "c.fp")).distinct(), "pairs")
 
 
 def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
@@ -260,8 +264,8 @@ def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
     """
     region, block = ["tree", "prefix"], ["tree", "prefix", "own", "part"]
     nodes = forest.select(*region, "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = stage(nodes, "rooted")
-    counts = stage(nodes.groupBy(*region, "root").agg(F.count("*").alias("m"), F.sum("n").alias("volume")), "region-roots")
+    nodes = rooted = stage(nodes, "rooted")
+    counts = counted = stage(nodes.groupBy(*region, "root").agg(F.count("*").alias("m"), F.sum("n").alias("volume")), "region-roots")
     open_ = counts.groupBy(*region).agg(F.count("*").alias("k")).where("k > 1").select(*region)
     # Mixed blocks have the empty name.
     counts = counts.join(open_, region).withColumn("own", F.when(F.col("m") > REGION, F.col("root")).otherwise(F.lit(b"")))
@@ -276,7 +280,9 @@ def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
     pairs = stage(pairs.withColumn("cell", F.xxhash64(*block, "own2", "part2")), "cells")
     left = pairs.select(*block, "cell", F.lit(0).alias("side"))
     right = pairs.where(first != second).select(*region, F.col("own2").alias("own"), F.col("part2").alias("part"), "cell", F.lit(1).alias("side"))
-    return stage(nodes.join(left.unionAll(right), block).select("cell", "side", "fp", "root"), "cell-nodes")
+    dealt = stage(nodes.join(left.unionAll(right), block).select("cell", "side", "fp", "root"), "cell-nodes")
+    drop(rooted, counted, parts, owns, pairs)
+    return dealt
 
 
 def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -297,8 +303,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
     forest = _regions(nodes, depth)
-    first = stage(_centre_pairs(forest, most), "pairs")
-    near = stage(_neighbour_pairs(forest, most), "pairs")
+    first, near = _centre_pairs(forest, most), _neighbour_pairs(forest, most)
     free_shuffles(spark)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -327,11 +332,19 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     if not more.isEmpty():
         links = links.unionAll(confirm(more))
         roots = components(links)
+    drop(first, near, more, texts)
+    free_shuffles(spark)
     cells = _cells(forest, roots)
+    drop(forest)
+    free_shuffles(spark)
     if not cells.isEmpty():
         sets = texts_of(cells.select("fp").distinct()).dropDuplicates(["fp"]).mapInArrow(_sets, "fp binary, shingles binary")
-        dealt = cells.join(stage(sets, "sets"), "fp").select("cell", "side", "root", "shingles").repartition("cell").sortWithinPartitions("cell")
+        sets = stage(sets, "sets")
+        free_shuffles(spark)
+        dealt = cells.join(sets, "fp").select("cell", "side", "root", "shingles").repartition("cell").sortWithinPartitions("cell")
         roots = components(links.unionAll(stage(dealt.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "links")))
+        drop(sets)
+    drop(cells)
     free_shuffles(spark)
     named = digest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id")), "components")
