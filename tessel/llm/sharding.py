@@ -17,7 +17,9 @@ third, so no group makes a range heavy.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.staging import drop, partitions, stage
@@ -54,6 +56,13 @@ def _flip(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a literal, without a Python worker."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    whole = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(whole), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+
+
 def _cells(rows: DataFrame, cells: list[int], depth: int) -> DataFrame:
     """Rows whose first ``depth`` key bits are one of ``cells``, whose place in the list is ``cell``."""
     if not depth:
@@ -62,7 +71,7 @@ def _cells(rows: DataFrame, cells: list[int], depth: int) -> DataFrame:
     top = [_words(c << (_ALL - depth)) for c in cells]
     names = [f"__c{i}" for i in range(3) if used[i]]
     known = [(k, *(_signed((w[i] % (1 << _WORD)) >> (_WORD - used[i])) for i in range(3) if used[i])) for k, w in enumerate(top)]
-    known = rows.sparkSession.createDataFrame(known, ", ".join(f"{n} long" for n in ["cell", *names]))  # a row for each open splitter at most
+    known = _table(rows.sparkSession, known, ", ".join(f"{n} long" for n in ["cell", *names]))  # a row for each open splitter at most
     own = {n: F.shiftrightunsigned(F.col(_KEY[int(n[-1])]), _WORD - used[int(n[-1])]) for n in names}
     return rows.withColumns(own).join(F.broadcast(known), names).drop(*names)
 
@@ -113,9 +122,10 @@ def _in_range(keyed: DataFrame, borders: list[int]) -> DataFrame:
         inside.setdefault(min(b >> (_ALL - LOOK), 1 << LOOK), []).append(b)
     rows, before = [], 0
     for cell in range(1 << LOOK):
-        rows.append((cell, before, [tuple(_words(b ^ sum(1 << (_WORD * (i + 1) - 1) for i in range(3)))) for b in inside.get(cell, [])]))
+        near = [_words(b ^ sum(1 << (_WORD * (i + 1) - 1) for i in range(3))) for b in inside.get(cell, [])]
+        rows.append((cell, before, [dict(zip("abc", w, strict=True)) for w in near]))
         before += len(inside.get(cell, []))
-    look = keyed.sparkSession.createDataFrame(rows, "__look long, __before int, __near array<struct<a:long,b:long,c:long>>")
+    look = _table(keyed.sparkSession, rows, "__look long, __before int, __near array<struct<a:long,b:long,c:long>>")
     key = F.struct(*(_flip(F.col(k)).alias(n) for k, n in zip(_KEY, "abc")))
     both = keyed.withColumn("__look", _bits(0, LOOK)).withColumn("__key", key).join(F.broadcast(look), "__look")  # 2**LOOK rows
     reached = F.when(F.size("__near") == 0, F.lit(0)).otherwise(F.size(F.filter("__near", lambda x: x <= F.col("__key"))))
