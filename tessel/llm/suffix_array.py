@@ -15,19 +15,29 @@ from collections.abc import Sequence
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
-    """Starts of all suffixes in order; the last symbol must be the least one and occur once."""
+    """Starts of all suffixes in order; the last symbol must be the least one and occur once.
+
+    Symbols are not negative.  All steps are linear in the length and the
+    greatest symbol: suffixes are dealt by their first symbol by counting, and
+    nothing is sorted by comparison.
+    """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place = [0] * n
-    start = [0] * n  # of a suffix: where its group begins
+    begin = [0] * (max(text) + 2)
+    for c in text:
+        begin[c + 1] += 1
     size = [0] * n  # by group start
-    g = 0
-    for k, i in enumerate(order):
-        if k and text[i] != text[order[k - 1]]:
-            g = k
-        place[i] = k
-        start[i] = g
-        size[g] += 1
+    at = 0
+    for c in range(1, len(begin)):
+        if begin[c]:
+            size[at] = begin[c]
+            at += begin[c]
+        begin[c] = at
+    start = [begin[c] for c in text]  # of a suffix: where its group begins
+    order, place = [0] * n, [0] * n
+    for i, c in enumerate(text):
+        place[i] = k = begin[c]
+        order[k] = i
+        begin[c] = k + 1
     smaller = [-1] * n  # of a suffix: the nearest one before it in a smaller group
     end = n
     while end > 0:
@@ -49,19 +59,34 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 size[new] = 1
             end = top
             continue
-        hits: dict[int, int] = {}
-        for i in sorted(order[top:end]):
+        group = order[top:end]
+        same: dict[int, int] = {}  # the nearest one before a suffix is of its own group
+        for i in group:
             j = i - 1
-            while j >= 0 and start[j] >= top:
+            while j >= 0 and start[j] > top:
                 j = smaller[j]
-            smaller[i] = j
+            if j >= 0 and start[j] == top:
+                same[i] = j
+            else:
+                smaller[i] = j
+        for i in same:  # chains of them end at one that knows its smaller one; each link is followed once
+            chain = []
+            while i in same and same[i] >= 0:
+                chain.append(i)
+                after, same[i] = same[i], -1
+                i = after
+            for x in chain:
+                smaller[x] = smaller[i]
+        hits: dict[int, int] = {}
+        for i in group:
+            j = smaller[i]
             if j >= 0:
                 hits[j] = hits.get(j, 0) + 1
         levels: dict[int, list[int]] = {}
         for j, times in hits.items():
             levels.setdefault(times, []).append(j)
-        for times in sorted(levels, reverse=True):
-            moved = levels[times]
+        for times in range(max(levels, default=0), 0, -1):
+            moved = levels.get(times, ())
             for j in moved:
                 old = start[j]
                 size[old] -= 1
@@ -79,13 +104,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     done = [False] * n
     out[0] = n - 1
     done[n - 1] = True
-    at = list(range(n))  # by group start: its next free place
+    free = list(range(n))  # by group start: its next free place
     for r in range(n):
         j = out[r] - 1
         while j >= 0 and not done[j]:
             g = start[j]
-            out[at[g]] = j
-            at[g] += 1
+            out[free[g]] = j
+            free[g] += 1
             done[j] = True
             j = smaller[j]
     return out

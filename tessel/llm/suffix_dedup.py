@@ -12,7 +12,7 @@ the anchor of every window; consecutive windows with one anchor make a run.
   different middles have no equal windows.  Blocks with equal middles are put
   into a text with the middle as one symbol, and a suffix array of that text
   puts equal windows side by side.  Equal blocks are counted first and enter
-  once.
+  twice at most.
 
 Blocks are dealt by anchor and middle.  Where more than HOT different blocks
 share one, their windows are compared after a further exchange by window, so
@@ -38,7 +38,8 @@ _U = np.uint64
 ANCHOR, BLOCK, HOT = 32, 16, 4096
 #: Symbols of one suffix array; more blocks go into the next one.
 BATCH = 40_000
-_PLACE = _U((1 << 24) - 1)
+#: Bits for a place beside its hash; longer texts are taken in overlapping halves of that length.
+PLACE_BITS = 24
 
 
 def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +53,12 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
     h = mix((total[ANCHOR:] - total[:-ANCHOR]) * down[:n])
     # Hash above, place below: the least value is the least hash, and of equal ones the leftmost.
-    wide = len(data) > int(_PLACE)
-    if wide:  # one very long text: exact in two steps of 2**24 places would tie, so halves overlap
-        half = 1 << 23
+    low = _U((1 << PLACE_BITS) - 1)
+    if len(data) > int(low):
+        half = 1 << PLACE_BITS - 1
         parts = [window_anchors(data[a : a + half + length - 1], length)[0] + a for a in range(0, len(data) - length + 1, half)]
         return np.concatenate(parts)[: n - w + 1], h
-    v = (h & ~_PLACE) | np.arange(n, dtype=_U)
+    v = (h & ~low) | np.arange(n, dtype=_U)
     blocks = -(-n // w)
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, _U)
     padded[:n] = v
@@ -65,7 +66,7 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     m = n - w + 1
-    return (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & _PLACE).astype(np.int64), h
+    return (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & low).astype(np.int64), h
 
 
 def _runs(length: int):
@@ -125,23 +126,24 @@ def _blocks(length: int):
 
 
 def _repeated(groups: list[list[tuple[bytes, int]]]) -> list[list[tuple[int, int] | None]]:
-    """Least and greatest repeated window of each block in groups of (ends, count) with one middle."""
-    strings = sum(len(g) for g in groups)
+    """Least and greatest repeated window of each block in groups of (ends, count) with one middle.
+
+    A block that occurs more than once stands in the text twice.
+    """
+    listed = [(g, ends) for g, group in enumerate(groups) for ends, count in group for _ in range(min(count, 2))]
+    strings = len(listed)
     text: list[int] = []
     where: list[tuple[int, int]] = []
     at_symbol: list[int] = []
-    string = 0
-    for g, group in enumerate(groups):
-        for i, (ends, _) in enumerate(group):
-            t0, t1 = ends[0], ends[1]
-            text.append(strings - string)  # separators fall, so no Lyndon word crosses one
-            for t in range(t0, t1 + 1):
-                where.append((string, t))
-                at_symbol.append(len(text) + t1 - t)
-            text += [strings + 1 + c for c in ends[2 : 2 + t1]]
-            text.append(strings + 257 + g)
-            text += [strings + 1 + c for c in ends[2 + t1 :]]
-            string += 1
+    for string, (g, ends) in enumerate(listed):
+        t0, t1 = ends[0], ends[1]
+        text.append(strings - string)  # separators fall, so no Lyndon word crosses one
+        for t in range(t0, t1 + 1):
+            where.append((string, t))
+            at_symbol.append(len(text) + t1 - t)
+        text += [strings + 1 + c for c in ends[2 : 2 + t1]]
+        text.append(strings + 257 + g)
+        text += [strings + 1 + c for c in ends[2 + t1 :]]
     text.append(0)
     flat = np.array(text, np.int64)
     name = np.full(len(text), -1, np.int64)
@@ -160,12 +162,9 @@ def _repeated(groups: list[list[tuple[bytes, int]]]) -> list[list[tuple[int, int
     out, string = [], 0
     for group in groups:
         found: list[tuple[int, int] | None] = []
-        for ends, count in group:
-            if count > 1:
-                found.append((ends[0], ends[1]))
-            else:
-                found.append((low[string], high[string]) if high[string] >= 0 else None)
-            string += 1
+        for _, count in group:
+            found.append((low[string], high[string]) if high[string] >= 0 else None)
+            string += min(count, 2)
         out.append(found)
     return out
 
@@ -196,7 +195,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal symbols
         if group and not hot and (len(group) > 1 or group[0][1] > 1):
             waiting.append((key, group))
-            symbols += sum(len(e) + 1 for e, _ in group)
+            symbols += sum((len(e) + 1) * min(c, 2) for e, c in group)
 
     for batch in batches:
         passing = []

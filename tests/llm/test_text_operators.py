@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -71,6 +72,29 @@ def test_suffix_dedup_equals_brute_force(spark, corpus):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_suffix_dedup_at_the_registered_length(spark):
+    rng = random.Random(21)
+    base = [prose(rng, 300) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, prose(rng, 20) + base[k][100 : 499 + k] + prose(rng, 20)) for k in range(4)]  # 399 bytes don't match
+    rows += [(20, base[5]), (21, base[5]), (22, "é" * 900), (23, "ab" * 700), (24, base[0][:700] + base[1][:700] + base[0][300:1100]), (25, None), (26, base[2][: 1 << 9])]
+    got = suffix_dedup.remove_repeats(table(spark, rows), 400).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in got), key=str) == brute_repeats(rows, 400)
+
+
+def test_anchors_of_very_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(2)
+    data = np.frombuffer((prose(rng, 900) + "a" * 3000 + prose(rng, 900)).encode(), np.uint8)
+    whole = suffix_dedup.window_anchors(data, 400)[0]
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 12)
+    cut = suffix_dedup.window_anchors(data, 400)[0]
+    # With fewer bits hashes are compared on more of theirs, so anchors may differ; equal windows still agree on theirs.
+    for at in (whole, cut):
+        assert len(at) == len(data) - 399 and ((at >= np.arange(len(at))) & (at <= np.arange(len(at)) + 400 - suffix_dedup.ANCHOR)).all()
+        first: dict[bytes, int] = {}
+        for k in range(len(at)):
+            assert first.setdefault(data[k : k + 400].tobytes(), at[k] - k) == at[k] - k
+
+
 def test_suffix_dedup_splits_hot_groups(spark, monkeypatch):
     rng = random.Random(5)
     passage = prose(rng, 40)[:150]
