@@ -45,6 +45,10 @@ BLOCK = 4
 COMMON = 0.1
 #: For sums of floats that are compared with the threshold.
 EPS = 1e-9
+#: Most entries of a table of block weights that has the zeros too.
+DENSE = 1 << 22
+#: Bytes of text whose passages take their steps together.
+TOGETHER = 1 << 18
 #: Most items in one index; more items make more indexes, each sent out by itself.
 INDEX_ITEMS = 20_000
 
@@ -69,7 +73,7 @@ class ItemIndex:
     terms: HashIndex
     rare: np.ndarray  # by term: whether its postings have cursors
     top: np.ndarray  # by term: largest weight; 0 if not rare
-    block_key: np.ndarray  # term * blocks + block, of the rare terms
+    block_key: np.ndarray  # term * blocks + block, of the rare terms; None where block_max has them all
     block_max: np.ndarray
     rest: np.ndarray  # by block: most that the common terms add to an item
     post_from: np.ndarray  # by term + 1: its (item, weight) postings
@@ -129,14 +133,21 @@ def build_index(ids: list, questions: pa.Array, answers: pa.Array, least: int, b
     key = (term * blocks + item // BLOCK)[rare[term]]
     new = np.flatnonzero(np.r_[True, np.diff(key) != 0])[: len(key)]
     block_max = np.maximum.reduceat(weight[rare[term]], new) if len(new) else np.zeros(0)
+    key = key[new]
+    if len(names) * blocks <= DENSE:
+        dense = np.zeros(len(names) * blocks)
+        dense[key] = block_max
+        key, block_max = None, dense
     return ItemIndex(
-        HashIndex(names), rare, top, key[new], block_max, np.maximum.reduceat(rest_item, np.arange(0, n, BLOCK)),
+        HashIndex(names), rare, top, key, block_max, np.maximum.reduceat(rest_item, np.arange(0, n, BLOCK)),
         post_from, item, term * (n + 1) + item, weight, q, a, ids, int(lengths.max()),
     )
 
 
-def _at(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each wanted key, 0 where there is none."""
+def _at(keys: np.ndarray | None, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where there is none; without keys, all have one."""
+    if keys is None:
+        return values[wanted]
     if not len(keys):
         return np.zeros(len(wanted))
     i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -171,9 +182,8 @@ def wand(index: ItemIndex, passage: np.ndarray, term: np.ndarray, threshold: flo
                 return
         goal = pivot[owner]
         upto = here <= goal
-        bound = np.zeros(len(pivot))
-        block = goal // BLOCK
-        np.add.at(bound, owner[upto], _at(index.block_key, term[upto] * blocks + block[upto], index.block_max))
+        before = owner[upto]
+        bound = np.bincount(before, _at(index.block_key, term[upto] * blocks + goal[upto] // BLOCK, index.block_max), len(pivot))
         good = (pivot < n) & (bound + index.rest[np.minimum(pivot, n - 1) // BLOCK] >= threshold - EPS)
         if good.any():
             whose = np.zeros(len(pivot), np.int64)
@@ -182,7 +192,7 @@ def wand(index: ItemIndex, passage: np.ndarray, term: np.ndarray, threshold: flo
         # Past the pivot if it was scored; else past its block, but not past a cursor that may add to the bound.
         beyond = np.full(len(pivot), n)
         np.minimum.at(beyond, owner[~upto], here[~upto])
-        target = np.where(good, pivot + 1, np.minimum((pivot // BLOCK + 1) * BLOCK, beyond))[owner[upto]]
+        target = np.where(good, pivot + 1, np.minimum((pivot // BLOCK + 1) * BLOCK, beyond))[before]
         t = term[upto]
         moved = np.minimum(np.searchsorted(index.post_key, t * (n + 1) + target), index.post_from[t + 1])
         at[upto] = moved
@@ -307,7 +317,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
         def work(batches: Iterator[pa.RecordBatch], shared=shared, id_type=id_type) -> Iterator[pa.RecordBatch]:
             ix, phrases = shared.value
             for whole in batches:
-                for batch in chunks(whole, "__text"):
+                for batch in chunks(whole, "__text", TOGETHER):
                     data, at = view(batch.column(1))
                     s, e, first = runs(data, at, TERM)
                     h = word_hashes(data, s, e)
