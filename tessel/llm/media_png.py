@@ -98,10 +98,14 @@ def _unfilter(rows: np.ndarray, bpp: int) -> np.ndarray:
 
 
 def decode(png: bytes) -> np.ndarray:
-    """Pixels (height, width, channels) of an 8-bit, not interlaced PNG."""
+    """Pixels (height, width, channels) of an 8-bit, not interlaced PNG; a palette beside true colours is passed over.
+
+    Whatever else is wrong raises ``PngError``; no more is inflated than the
+    header announces.
+    """
     if png[:8] != SIGNATURE:
         raise PngError("no PNG signature")
-    at, header, data, ended = 8, None, [], False
+    at, header, data, ended, kinds = 8, None, [], False, []
     while at + 12 <= len(png) and not ended:
         (n,) = struct.unpack_from(">I", png, at)
         kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + n]
@@ -109,26 +113,42 @@ def decode(png: bytes) -> np.ndarray:
             raise PngError("a chunk is cut short")
         if struct.unpack_from(">I", png, at + 8 + n)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise PngError(f"checksum of {kind!r}")
+        if (kind == b"IHDR") == bool(kinds):
+            raise PngError("the header isn't the first chunk, and the only one")
         if kind == b"IHDR":
+            if n != 13:
+                raise PngError("a header of another length")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
+            if data and kinds[-1] != kind:
+                raise PngError("image data in several places")
             data.append(body)
         elif kind == b"IEND":
             ended = True
-        elif not kind[0] & 32 and kind != b"PLTE":
+        elif kind == b"PLTE":
+            if data or kind in kinds or n % 3 or not 3 <= n <= 768 or header[3] not in (2, 6):
+                raise PngError("a palette that can't be there")
+        elif not kind[0] & 32:
             raise PngError(f"unknown critical chunk {kind!r}")
+        kinds.append(kind)
         at += 12 + n
     if header is None or not ended:
         raise PngError("no header or end")
-    width, height, depth, colour, _, _, interlace = header
+    width, height, depth, colour, packing, filters, interlace = header
     if depth != 8 or colour not in CHANNELS or interlace:
         raise PngError("only plain 8-bit images are read")
+    if packing or filters:
+        raise PngError("unknown compression or filter method")
+    if not 0 < width < 1 << 31 or not 0 < height < 1 << 31:
+        raise PngError("no pixels")
+    bpp = CHANNELS[colour]
+    size = height * (1 + width * bpp)
+    inflater = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(data))
+        raw = inflater.decompress(b"".join(data), size + 1)
     except zlib.error as e:
         raise PngError(str(e)) from e
-    bpp = CHANNELS[colour]
-    if len(raw) != height * (1 + width * bpp):
+    if len(raw) != size or not inflater.eof:
         raise PngError("image data of another size")
     rows = np.frombuffer(raw, np.uint8).reshape(height, 1 + width * bpp)
     return _unfilter(rows, bpp).reshape(height, width, bpp)
@@ -171,8 +191,9 @@ def media_columns(docs: DataFrame, text: str = "text", row_id: str = "doc_id", w
     Returns ``row_id, png, hash, n_bytes`` and, read back from the PNG, the
     ``payload`` (or, without it, ``payload_bytes, payload_sha256,
     tail_crc32, media_sha256`` in place of the two long binaries).  A null
-    text is empty and gives one row of blanks.  Images are made row by row, so
-    memory is bounded by the longest text.
+    text is empty and gives one row of blanks, repeated rows give repeated
+    results, an empty table gives no rows, and other columns are ignored.
+    Images are made one by one, so memory is bounded by the longest text.
     """
     if with_payload:
         extra = "png binary, hash binary, n_bytes long, payload binary"

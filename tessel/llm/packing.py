@@ -39,23 +39,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-def _ranks(path: str) -> dict[bytes, int]:
-    """The file's vocabulary as bytes; the other bytes are written as characters from 256 on."""
+def _ranks(whole: dict) -> dict[bytes, int]:
+    """The vocabulary as bytes; the bytes that aren't printed are written as characters from 256 on."""
     rest = [b for b in range(256) if b not in PRINTED]
     byte = {chr(b): b for b in PRINTED} | {chr(256 + k): b for k, b in enumerate(rest)}
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
     special = {t["content"] for t in whole["added_tokens"]}
     return {bytes(byte[c] for c in t): i for t, i in whole["model"]["vocab"].items() if t not in special}
 
 
+def _plain_bytes(whole: dict) -> bool:
+    """Whether the file describes byte-level BPE with PATTERN, and nothing before or beside it."""
+    split = whole.get("pre_tokenizer") or {}
+    model = whole["model"]
+    return (
+        whole.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and not model.get("dropout") and not model.get("ignore_merges") and all("<|" in t["content"] for t in whole["added_tokens"])
+    )
+
+
 class TextEncoder:
     """Byte-level BPE ids of texts, as the ``tokenizers`` library gives them.
 
     The merges run in tiktoken with the ranks read from the same file; it gives
     the same ids several times as fast.  A text in which no white space follows
     white space is split without the pattern's look-ahead, which has nothing to
-    do there and is slow.  What may hold a special token goes to ``tokenizers``.
+    do there and is slow.  What may hold a special token goes to ``tokenizers``,
+    and everything does if the file asks for another way to split or normalise.
     """
 
     #: Two of Unicode's white space characters in a row.
@@ -65,8 +75,13 @@ class TextEncoder:
         from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        ranks = _ranks(path)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.as_file = not _plain_bytes(whole)
+        if self.as_file:
+            return
+        ranks = _ranks(whole)
         self.full = Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.plain = Encoding("plain", pat_str=PATTERN.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -76,7 +91,7 @@ class TextEncoder:
         double = pc.match_substring_regex(texts, self.DOUBLE).to_pylist()
         special = pc.match_substring(texts, "<|").to_pylist()
         for text, d, s in zip(texts.to_pylist(), double, special, strict=True):
-            if s:
+            if s or self.as_file:
                 yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
                 yield array("I", self.full(text) if d else self.plain(text))
@@ -174,24 +189,28 @@ def pack(pieces: DataFrame, tokens: int = 1024, documents: int = 1024, attention
 
     With the default capacities for documents and attention only tokens bind.
     Equal lengths are interchangeable; which piece of a length goes where
-    follows from its place in the staged table.  Other columns stay, but for
-    ``sequence_id`` and ``offset``, which are replaced.  No pieces give no rows.
+    follows from its place in the staged table.  All other columns stay, of
+    whatever name, but ``sequence_id`` and ``offset``, which are replaced.  No
+    pieces give no rows.
     """
     spark = pieces.sparkSession
-    placed = stage(pieces.withColumn("__part", F.spark_partition_id()), "pieces")
-    counts = stage(placed.groupBy("length", "__part").agg(F.count("*").alias("n")), "piece-counts")
-    stock = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `tokens` rows at most
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # The caller's columns travel in one, so that their names can't clash with those used here.
+    placed = pieces.select(F.struct(*kept).alias("piece"), F.col("length").alias("n"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    placed = stage(placed, "pieces")
+    counts = stage(placed.groupBy("n", "part").agg(F.count("*").alias("k")), "piece-counts")
+    stock = {r["n"]: r["k"] for r in counts.groupBy("n").agg(F.sum("k").alias("k")).collect()}  # `tokens` rows at most
     rows = plan(stock, tokens, documents, attention, weights, score)
     # Its rows follow from the number of lengths, not from the number of pieces.
-    places = spark.createDataFrame(rows, "__length long, __from long, __to long, __first long, __m long, __offset long")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("length", "__part", F.coalesce(before, F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("length", "__part").orderBy("ids_crc32"))
-    ranked = placed.withColumn("__own", own - 1).join(base, ["length", "__part"]).withColumn("__rank", F.col("__own") + F.col("__base"))
-    inside = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
-    r = F.col("__rank") - F.col("__from")
+    places = spark.createDataFrame(rows, "length long, from long, to long, first long, m long, offset long")
+    before = F.sum("k").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("n", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("n", "part").orderBy("at")) - 1
+    ranked = placed.withColumn("own", own).join(base, ["n", "part"]).withColumn("rank", F.col("own") + F.col("base"))
+    inside = (F.col("n") == F.col("length")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+    r = F.col("rank") - F.col("from")
     return ranked.join(F.broadcast(places), inside).select(
-        *(c for c in pieces.columns if c not in ("sequence_id", "offset")),
-        (F.col("__first") + F.floor(r / F.col("__m"))).cast("long").alias("sequence_id"),
-        (F.col("__offset") + (r % F.col("__m")) * F.col("length")).cast("long").alias("offset"),
+        *(F.col(f"piece.`{c}`").alias(c) for c in kept),
+        (F.col("first") + F.floor(r / F.col("m"))).cast("long").alias("sequence_id"),
+        (F.col("offset") + (r % F.col("m")) * F.col("length")).cast("long").alias("offset"),
     )

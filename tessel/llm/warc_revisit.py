@@ -59,24 +59,33 @@ def _header_lines(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
+def _next_record(raw: bytes, at: int) -> int:
+    """Where the next line that begins with ``WARC/`` starts, from ``at`` on; -1 if there is none."""
+    if raw[at : at + 5] == b"WARC/" and (at == 0 or raw[at - 1 : at] == b"\n"):
+        return at
+    found = raw.find(b"\nWARC/", at)
+    return found + 1 if found >= 0 else -1
+
+
 def parse_warc(raw: bytes) -> Iterator[dict]:
-    """Records of uncompressed WARC bytes; a torn record at the end is left out."""
-    at = 0
-    while True:
-        while raw[at : at + 1] in (b"\r", b"\n") and at < len(raw):
-            at += 1
+    """Records of uncompressed WARC bytes.
+
+    A torn record, or one with a bad length, is left out, and reading goes on
+    at the next line that begins a record.
+    """
+    at = _next_record(raw, 0)
+    while at >= 0:
         stop = raw.find(b"\r\n\r\n", at)
-        if stop < 0 or raw[at : at + 5] != b"WARC/":
+        if stop < 0:
             return
         head = _header_lines(raw[at:stop].split(b"\r\n")[1:])
-        try:
-            length = int(head.get("content-length", ""))
-        except ValueError:
-            return
-        block = raw[stop + 4 : stop + 4 + length]
-        if len(block) < length:
-            return
-        at = stop + 4 + length
+        length = head.get("content-length", "")
+        block = raw[stop + 4 : stop + 4 + int(length)] if length.isdecimal() and length.isascii() else None
+        end = stop + 4 + len(block) if block is not None else -1
+        if block is None or len(block) < int(length) or raw[end : end + 4].strip(b"\r\n"):
+            at = _next_record(raw, at + 5)
+            continue
+        at = _next_record(raw, end)
         http, _, body = block.partition(b"\r\n\r\n")
         status, *lines = http.split(b"\r\n")
         code = status.split(b" ")[1:2]
@@ -135,9 +144,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``no_earlier_response`` or ``no_url``; the merged headers are given for the
     first two, else the revisit's own.  Full responses are responses with a
     status of 200 to 299.  A response of the same second is not earlier; of
-    several at one time the greatest record id counts.  Repeated revisits are
-    each resolved; repeated responses count once.  A null time resolves to
-    nothing.  Other columns are ignored.
+    several at one time the greatest record id counts, and of several with one
+    id the one whose headers have the greatest hash.  Repeated revisits are
+    each resolved with their own headers; repeated responses count once.  A
+    null time resolves to nothing.  No records give no rows; other columns are
+    ignored.
     """
     spark = records.sparkSession
     h = F.col("headers")
@@ -145,12 +156,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     events = records.where(full | (F.col("type") == "revisit")).select(
         "record_id", "url", "time", full.alias("full"), canonical_url(F.col("url")).alias("canon"),
         F.regexp_replace(h["etag"], "^W/", "").alias("etag"), h["last-modified"].alias("modified"), "headers",
+        # Records may share an id: with it, this names their headers.
+        F.coalesce(F.xxhash64(F.array_sort(F.map_entries(h))), F.lit(0)).alias("mark"),
     )
-    keys = ["canon", "time", "full", "record_id"]
+    keys = ["canon", "time", "full", "record_id", "mark"]
     sorted_ = events.drop("headers").repartitionByRange(partitions(spark), *keys)
     placed = stage(sorted_.withColumn("range", F.spark_partition_id()), "warc-events")
-    answer = F.struct("time", "record_id", "etag", "modified")
-    order = Window.partitionBy("canon", "range").orderBy("time", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.struct("time", "record_id", "mark", "etag", "modified")
+    order = Window.partitionBy("canon", "range").orderBy("time", "full", "record_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     near = F.last(F.when(F.col("full"), answer), ignorenulls=True).over(order)
     heads = placed.groupBy("canon", "range").agg(F.max(F.when(F.col("full"), answer)).alias("head"))
     earlier = Window.partitionBy("canon").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,18 +173,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     # Only a response with a time, an URL and an earlier time answers.
     found = F.coalesce("near", "far")
     found = F.when(found["time"] < F.col("time"), found)
-    looked = looked.select("record_id", "url", "canon", "time", "etag", "modified", found.alias("r"))
+    looked = looked.select("record_id", "mark", "url", "canon", "time", "etag", "modified", found.alias("r"))
     agreed = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("r.etag"))).when(F.col("modified").isNotNull(), F.col("modified").eqNullSafe(F.col("r.modified")))
     resolution = (
         F.when(F.col("canon").isNull(), "no_url").when(F.col("r").isNull(), "no_earlier_response")
         .when(agreed.isNull(), "unchecked").when(agreed, "resolved").otherwise("validator_mismatch")
     )
     looked = looked.withColumn("resolution", resolution).withColumn("good", F.col("resolution").isin("resolved", "unchecked"))
-    looked = looked.withColumn("response_id", F.when(F.col("good"), F.col("r.record_id")))
-    own = events.where(~F.col("full")).groupBy("record_id").agg(F.first("headers").alias("own"))
+    looked = looked.withColumns({"response_id": F.when(F.col("good"), F.col("r.record_id")), "response_mark": F.when(F.col("good"), F.col("r.mark"))})
+    own = events.where(~F.col("full")).groupBy("record_id", "mark").agg(F.first("headers").alias("own"))
     # Written first: a join with the aggregate itself would keep all revisits of one response in one task.
-    stored = stage(events.where("full").groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored")), "warc-responses")
-    both = looked.join(own, "record_id", "left").join(stored, "response_id", "left")
+    stored = events.where("full").groupBy(F.col("record_id").alias("response_id"), F.col("mark").alias("response_mark"))
+    stored = stage(stored.agg(F.first("headers").alias("stored")), "warc-responses")
+    both = looked.join(own, ["record_id", "mark"], "left").join(stored, ["response_id", "response_mark"], "left")
     empty = F.create_map().cast("map<string,string>")
     merged = F.map_zip_with(
         F.coalesce("stored", empty), F.coalesce("own", empty), lambda k, a, b: F.when(k.isin(*KEPT), a).otherwise(F.coalesce(b, a))

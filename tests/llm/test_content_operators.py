@@ -310,6 +310,57 @@ def test_damage_is_found(harm):
         media_png.decode(harm(png))
 
 
+def chunk(kind, body):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def header(width=5, height=2, depth=8, colour=2, packing=0, filters=0, interlace=0):
+    return chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, packing, filters, interlace))
+
+
+_ROWS = zlib.compress(bytes(2 * 16))
+_END, _DATA, _PALETTE = chunk(b"IEND", b""), chunk(b"IDAT", _ROWS), chunk(b"PLTE", bytes(6))
+
+
+@pytest.mark.parametrize("parts", [
+    [chunk(b"IHDR", bytes(12)), _DATA, _END], [chunk(b"IHDR", b""), _DATA, _END], [_DATA, header(), _END], [header(), header(), _DATA, _END],
+    [header(packing=1), _DATA, _END], [header(filters=1), _DATA, _END], [header(depth=16), _DATA, _END], [header(colour=3), _PALETTE, _DATA, _END], [header(interlace=1), _DATA, _END],
+    [header(width=0), _DATA, _END], [header(height=0), chunk(b"IDAT", zlib.compress(b"")), _END], [header(), chunk(b"PLTE", bytes(4)), _DATA, _END], [header(), _PALETTE, _PALETTE, _DATA, _END],
+    [header(), _DATA, _PALETTE, _END], [header(colour=0), _PALETTE, chunk(b"IDAT", zlib.compress(bytes(12))), _END], [header(), chunk(b"IDAT", _ROWS[:5]), chunk(b"tEXt", b"a"), chunk(b"IDAT", _ROWS[5:]), _END],
+    [header(), chunk(b"IDAT", zlib.compress(bytes(50_000_000))), _END], [header(), chunk(b"IDAT", _ROWS[:-6]), _END], [header(), chunk(b"IDAT", b"no zlib"), _END], [header(), _DATA], [header(), _END],
+    [header(), chunk(b"ABCD", b""), _DATA, _END], [header(height=1 << 30, width=1 << 30), _DATA, _END],
+])
+def test_what_the_reader_refuses(parts):
+    with pytest.raises(media_png.PngError):
+        media_png.decode(media_png.SIGNATURE + b"".join(parts))
+
+
+def test_a_palette_beside_true_colours_is_passed_over():
+    png = media_png.SIGNATURE + header() + _PALETTE + chunk(b"IDAT", _ROWS[:9]) + chunk(b"IDAT", _ROWS[9:]) + chunk(b"tEXt", b"a") + _END
+    assert media_png.decode(png).shape == (2, 5, 3)
+
+
+def test_cosine_hash_equals_the_definition():
+    rng = np.random.default_rng(3)
+    for height, width in ((32, 32), (64, 96), (7, 64), (100, 33)):
+        pixels = rng.integers(0, 256, (height, width, 3)).astype(np.uint8)
+
+        def means(rows):
+            cuts = [k * len(rows) // 32 for k in range(33)]
+            return [rows[k * len(rows) // 32] if len(rows) < 32 else sum(rows[cuts[k] : cuts[k + 1]]) / (cuts[k + 1] - cuts[k]) for k in range(32)]
+
+        grey = [np.array([sum(map(float, p)) / 3 for p in row]) for row in pixels]
+        small = np.array(means(list(np.array(means(grey)).T))).T  # rows first, then columns
+        low = [
+            sum(small[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+            for u in range(8) for v in range(8)
+        ]
+        middle = np.median(low[1:])
+        got = np.unpackbits(np.frombuffer(media_png.dct_hash(pixels), np.uint8))
+        transposed = np.array(low).reshape(8, 8).T.reshape(-1)
+        assert (got == (np.array(low) > middle)).sum() >= 63 or (got == (transposed > middle)).sum() >= 63
+
+
 def test_round_trip_in_columns(spark):
     rows = [(1, None), (2, ""), (3, "aé" * 4000), (4, "x"), (4, "x"), (None, "y" * 192), (6, "".join(map(chr, range(32, 1000))) * 300)]
     out = media_png.media_columns(docs_of(spark, rows), with_payload=True).collect()
@@ -361,6 +412,33 @@ def test_revisits(spark):
     assert merged == {"etag": 'W/"1"', "content-length": "5", "cache-control": "new", "age": "3"}
 
 
+RECORDS = "record_id string, type string, url string, time long, status int, headers map<string,string>, canon string"
+
+
+def test_records_that_share_an_id_keep_their_own_headers(spark):
+    rows = [record("r", "response", "http://a.org/", 10, etag='"1"', age="1"), record("r", "response", "http://a.org/", 20, etag='"2"', age="2")]
+    rows += [record("v", "revisit", "http://a.org/", 15, 304, etag='"1"', via="x"), record("v", "revisit", "http://a.org/", 25, 304, etag='"2"', via="y"), record(None, "revisit", "http://a.org/", 30, 304, etag='"2"')]
+    for parts in (1, 3, 7):
+        out = warc_revisit.resolve_revisits(spark.createDataFrame(rows * 2, RECORDS).repartition(parts)).collect()
+        got = sorted(((r["time"], r["response_time"], sorted(r["headers"].items())) for r in out), key=str)
+        assert got == sorted([(15, 10, [("age", "1"), ("etag", '"1"'), ("via", "x")]), (25, 20, [("age", "2"), ("etag", '"2"'), ("via", "y")])] * 2 + [
+            (30, 20, [("age", "2"), ("etag", '"2"')])] * 2, key=str) or {r["record_id"] for r in out} == {"v", None}
+        assert [r["headers"].get("via") for r in sorted(out, key=lambda r: r["time"]) if r["record_id"]] == ["x", "x", "y", "y"]
+
+
+def test_no_records(spark):
+    assert warc_revisit.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
+    assert warc_revisit.read_records(spark.createDataFrame([], "raw string")).count() == 0
+
+
+def test_reading_goes_on_behind_a_bad_record():
+    good = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: {k}\r\nContent-Length: 9\r\n\r\n200\r\n\r\nab\r\n\r\n".encode()
+    bad = [b"WARC/1.0\r\nContent-Length: x\r\n\r\nbody\r\n\r\n", b"WARC/1.0\r\nContent-Length: 9999\r\n\r\nshort\r\n\r\n", b"junk WARC/ in a line\r\n\r\n", b"WARC/1.0\r\nContent-Length: 2\r\n\r\nmore than two\r\n\r\n"]
+    for b in bad:
+        assert [r["record_id"] for r in warc_revisit.parse_warc(good(1) + b + good(2) + good(3))] == ["1", "2", "3"]
+    assert [r["record_id"] for r in warc_revisit.parse_warc(good(1) + good(2)[:-8])] == ["1"]
+
+
 def test_one_url_over_many_ranges(spark):
     rows = [record(f"r{k}", "response", "http://a.org/", 10 * k, etag=f'"{k}"') for k in range(60)] + [record(f"v{k}", "revisit", "http://a.org/", 10 * k + 5, 304, etag=f'"{k}"') for k in range(0, 2000, 7)]
     out = warc_revisit.resolve_revisits(spark.createDataFrame(rows, "record_id string, type string, url string, time long, status int, headers map<string,string>, x string").repartition(5)).collect()

@@ -1,7 +1,11 @@
 """The pipeline against what each stage must do to a small corpus, and the registered queries."""
 
 import collections
+import hashlib
 import random
+import re
+import struct
+import zlib
 
 import duckdb
 import pytest
@@ -9,6 +13,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tessel.llm.queries import ORACLE_SQL, QUERIES
+from test_text_operators import brute_repeats
 
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b for a in "ka lo mi nu pe ra so ti".split() for b in "dan fer gol hin jun".split()]
@@ -111,6 +116,94 @@ def test_ten_operators_and_the_pipeline_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
 
 
+@pytest.fixture(scope="module")
+def sf_rows():
+    table = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'")
+    return table.fetchall()
+
+
+def test_registered_repeats_equal_brute_force(spark, sf_rows):
+    got = QUERIES["op1_suffix_dedup"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(sf_rows, 400) and any(r["n_removed"] for r in got)
+
+
+def test_registered_shards_obey_the_law(spark, sf_rows):
+    got = {r["doc_id"]: r for r in QUERIES["op2_sharding"](spark, SF).collect()}
+    size = collections.Counter()
+    for i, t in sf_rows:
+        body = (t or "").encode()
+        assert (got[i]["size"], got[i]["text_crc32"], got[i]["law"], got[i]["grown_shard"]) == (len(body) + 1, zlib.crc32(body), "bytes", None)
+        size[got[i]["shard"]] += len(body) + 1
+    share, most = sum(size.values()) / 16, max(r["size"] for r in got.values())
+    assert all(abs(size[s] - share) <= most + 1 for s in range(16))
+    slots = collections.defaultdict(list)
+    for r in got.values():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_registered_packing_equals_the_tokenizer(spark, sf_rows):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rows, bins = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in QUERIES["op3_packing"](spark, SF).collect():
+        rows[r["doc_id"]][r["piece"]] = r
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for i, t in sf_rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want = [(k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        assert [(k, r["start"], r["length"], r["ids_crc32"]) for k, r in sorted(rows[i].items())] == want
+        total += len(ids)
+    for b in bins.values():
+        b.sort()
+        assert [x for x, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 1024
+    assert len(bins) <= total / 1024 * 1.02 + 1
+
+
+def test_registered_near_copies_equal_brute_force(spark, sf_rows):
+    got = QUERIES["op8_near_dedup"](spark, SF).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [(i, " ".join(re.findall("[^\\x20\\x09-\\x0D]+", (t or "").translate(lower)))) for i, t in sf_rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (t.split(" ") if t else [] for _, t in words)]
+    root = {i: i for i, _ in words}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, _) in enumerate(words):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= 85 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = sorted((top(i), top(words[b][0])))
+                root[y] = x
+    assert sorted(tuple(r) for r in got) == sorted((i, len(sets[k]), top(i), top(i) == i) for k, (i, _) in enumerate(words))
+
+
+def test_registered_toxicity_and_media_columns(spark, sf_rows):
+    for r in QUERIES["op9_toxicity"](spark, SF).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    got = {r["doc_id"]: r for r in QUERIES["op10_media_png"](spark, SF).collect()}
+    for i, t in sf_rows:
+        body = (t or "").encode()
+        payload = body + b" " * (max(192, -(-len(body) // 192) * 192) - len(body))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_over_its_whole_table(spark, name):
     df = QUERIES[name](spark, SF)

@@ -317,6 +317,69 @@ def test_plan_keeps_every_capacity(stock, score):
     assert all(sum(b) <= 50 and len(b) <= 3 and sum(x * x for x in b) <= limit for b in bins.values())
 
 
+@pytest.mark.parametrize("score", ["dot", "norm"])
+def test_plan_with_capacities_that_bind(score):
+    rng = random.Random(11)
+    lengths = [rng.choice([2, 3, 5, 8, 13, 21, 34]) for _ in range(400)]
+    tokens, documents, attention = 50, 4, 1300
+
+    def one_by_one():
+        """Sequence after sequence, the best of all pieces that still fit; no histogram."""
+        left, bins, cap = sorted(lengths, reverse=True), [], np.array([tokens, documents, attention])
+        while left:
+            residual, own = cap.copy(), []
+            while True:
+                fits = [n for n in dict.fromkeys(left) if n <= residual[0] and residual[1] and n * n <= residual[2]]
+                if not fits:
+                    break
+                share = {n: np.array([n, 1, n * n]) / cap for n in fits}
+                w = np.array([1.0, 0.1, 0.1])
+                best = max(fits, key=lambda n: share[n] @ (w * residual / cap)) if score == "dot" else min(fits, key=lambda n: (((residual / cap - share[n]) ** 2) * w).sum())
+                left.remove(best)
+                own.append(best)
+                residual -= np.array([best, 1, best * best])
+            bins.append(own)
+        return bins
+
+    bins = collections.defaultdict(list)
+    for length, a, b, first, m, _ in packing.plan(dict(collections.Counter(lengths)), tokens, documents, attention, score=score):
+        for r in range(b - a):
+            bins[first + r // m].append(length)
+    want = one_by_one()
+    assert sorted(map(sorted, bins.values())) == sorted(map(sorted, want))
+    bound = max(sum(lengths) / tokens, len(lengths) / documents, sum(n * n for n in lengths) / attention)
+    stock = dict(collections.Counter(lengths))
+    free = [packing.plan(stock, tokens, d, a, score=score) for d, a in ((10**6, attention), (documents, 10**6))]
+    fewer = [max(first + (b - a) // m for _, a, b, first, m, _ in rows) for rows in free]
+    assert all(n != len(want) for n in fewer)  # documents and attention both bind
+    assert bound <= len(want) <= 1.3 * bound
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["piece", "n", "part", "at", "own", "base", "rank", "from", "to", "first", "m", "__part"]
+    pieces = spark.createDataFrame([(5 + k % 3, *[k] * len(names), "old") for k in range(30)], ", ".join(["length long", *(f"`{n}` int" for n in names), "offset string"]))
+    got = packing.pack(pieces, 16).collect()
+    assert sorted(r["rank"] for r in got) == list(range(30)) and all(r[n] == r["__part"] for r in got for n in names)
+    assert all(isinstance(r["offset"], int) for r in got)
+
+
+def test_other_ways_of_splitting_are_left_to_the_tokenizer(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        whole = json.load(f)
+    assert packing._plain_bytes(whole)
+    whole["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(whole))
+    encoder = packing.TextEncoder(str(tmp_path / "t.json"))
+    assert encoder.as_file
+    assert [list(x) for x in encoder.encode(pa.array(["hello world", None]))] == [Tokenizer.from_file(str(tmp_path / "t.json")).encode("hello world", add_special_tokens=False).ids, []]
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     assert suffix_dedup.remove_repeats(docs, 100).count() == 0
