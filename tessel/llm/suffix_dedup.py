@@ -128,37 +128,46 @@ def _blocks(length: int):
 def _repeated(groups: list[list[tuple[bytes, int]]]) -> list[list[tuple[int, int] | None]]:
     """Least and greatest repeated window of each block in groups of (ends, count) with one middle.
 
-    A block that occurs more than once stands in the text twice.
+    A block that occurs more than once stands in the text twice.  Where all
+    blocks of a group are equal, they have all their bytes in common, so the
+    whole block is the middle and one symbol.
     """
-    listed = [(g, ends) for g, group in enumerate(groups) for ends, count in group for _ in range(min(count, 2))]
+    listed = [(g, ends, len(group) == 1) for g, group in enumerate(groups) for ends, count in group for _ in range(min(count, 2))]
     strings = len(listed)
     text: list[int] = []
-    where: list[tuple[int, int]] = []
+    where: list[tuple[int, int, int]] = []  # string, first and last of its windows that start at a symbol
     at_symbol: list[int] = []
-    for string, (g, ends) in enumerate(listed):
+    for string, (g, ends, alone) in enumerate(listed):
         t0, t1 = ends[0], ends[1]
         text.append(strings - string)  # separators fall, so no Lyndon word crosses one
+        if alone:
+            where.append((string, t0, t1))
+            at_symbol.append(len(text))
+            text.append(strings + 257 + g)
+            continue
         for t in range(t0, t1 + 1):
-            where.append((string, t))
+            where.append((string, t, t))
             at_symbol.append(len(text) + t1 - t)
         text += [strings + 1 + c for c in ends[2 : 2 + t1]]
         text.append(strings + 257 + g)
         text += [strings + 1 + c for c in ends[2 + t1 :]]
-    text.append(0)
+    text += [0] * BLOCK
     flat = np.array(text, np.int64)
     name = np.full(len(text), -1, np.int64)
     name[at_symbol] = np.arange(len(where))
-    order = name[np.array(suffix_array(text))]
+    order = name[np.array(suffix_array(text[: 1 - BLOCK]))]
     order = order[order >= 0]  # windows in the order of their suffixes
-    windows = flat[np.array(at_symbol)[order][:, None] + np.arange(BLOCK)]
-    same = (windows[1:] == windows[:-1]).all(axis=1)
+    begin = np.array(at_symbol)[order]
+    equal = flat[begin[1:, None] + np.arange(BLOCK)] == flat[begin[:-1, None] + np.arange(BLOCK)]
+    whole = np.array([listed[where[k][0]][2] for k in order])
+    same = np.where(whole[1:], equal[:, 0], equal.all(axis=1))
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
     low, high = [BLOCK] * strings, [-1] * strings
     for k in order[hit]:
-        s, t = where[k]
-        low[s], high[s] = min(low[s], t), max(high[s], t)
+        s, first, last = where[k]
+        low[s], high[s] = min(low[s], first), max(high[s], last)
     out, string = [], 0
     for group in groups:
         found: list[tuple[int, int] | None] = []
@@ -195,7 +204,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal symbols
         if group and not hot and (len(group) > 1 or group[0][1] > 1):
             waiting.append((key, group))
-            symbols += sum((len(e) + 1) * min(c, 2) for e, c in group)
+            symbols += 4 if len(group) == 1 else sum((len(e) + 1) * min(c, 2) for e, c in group)
 
     for batch in batches:
         passing = []
