@@ -266,7 +266,7 @@ def phrase_index(ids: list, questions: pa.Array, answers: pa.Array, least: int)
     out = {}
     for m, found in by_length.items():
         keys = sorted(found)
-        out[m] = HashIndex(np.array(keys, _U), 12), [found[k] for k in keys]
+        out[m] = HashIndex(np.array(keys, _U)), [found[k] for k in keys]
     return out
 
 

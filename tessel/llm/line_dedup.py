@@ -151,7 +151,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     for b in range(batches):
         runs.add(found.where(F.col("__batch") == b).select("row", *_HASH).distinct())
     # Read as plain files: without the buckets' fixed dealing, a join may split what one hot line brings.
-    frequent = spark.read.schema("h1 long, h2 long").parquet(runs.finish()._staged_path)
+    last = runs.finish()
+    frequent = spark.read.schema("h1 long, h2 long").parquet(last._staged_path)
+    spark.sql(f"DROP TABLE {last._run_name}")  # its files stay
     gone = found.join(frequent, _HASH, "left_semi").groupBy(*_ROW).agg(F.sort_array(F.collect_set("place")).alias("__tessel_gone"))
     n = F.size(_lines(F.col(text)))
     rest = F.when(F.col("__tessel_gone").isNull(), body).otherwise(F.array_join(_without(_lines(F.col(text)), F.col("__tessel_gone")), "\n"))

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[tempfile.TemporaryDirectory] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +37,23 @@ def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were staged inside it and are still in the list it gives."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        drop(*made)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:

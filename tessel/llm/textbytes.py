@@ -108,7 +108,8 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 class HashIndex:
     """Places of 64-bit hashes in a sorted array of different hashes, by their top bits."""
 
-    def __init__(self, names: np.ndarray, bits: int = 20) -> None:
+    def __init__(self, names: np.ndarray) -> None:
+        bits = min(20, max(8, len(names).bit_length() + 3))  # a few times as many as names, and small enough for the cache
         self.names, self.shift = names, _U(64 - bits)
         self.first = np.searchsorted(names, np.arange(1 << bits, dtype=_U) << self.shift).astype(np.int32)
         self.most = int(np.bincount((names >> self.shift).astype(np.int64)).max()) if len(names) else 0
