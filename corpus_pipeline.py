@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from tessel.llm.staging import stage
+from tessel.llm.staging import scope, stage
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -70,8 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; what a stage wrote for itself or the next one is deleted when that is done."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope() as made:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(docs)
+            made += old
+            old = [docs]
     return docs
