@@ -7,13 +7,13 @@
    share a label's prefix form a region.  How many values the prefix has, and at
    low thresholds how many trees there are, follows from the threshold alone, so
    what else the table holds doesn't decide whether two documents meet.
-3. Candidates are the neighbours in each region's sorted order, the nodes with
-   the longest common prefix, and the region's centre, the node that shares
-   most regions with others.  A group of near copies thus gives a few pairs
-   for each node, not all pairs.
+3. Candidates are the neighbours in each tree's sorted order, the nodes with
+   the longest common prefix, as deep as that is in each region.  After them
+   comes the region's centre, the node that shares most regions with others.
+   A group of near copies thus gives a few pairs for each node, not all pairs.
 4. Candidates whose sketches are far apart go; the others are compared on
-   their full shingle sets.  Links give connected components.  Neighbours are
-   compared only where the centres left their nodes in different components.
+   their full shingle sets.  Links give connected components.  Centres are
+   compared only where the neighbours left their nodes in different components.
 5. Where a region still has nodes of different components, all pairs of such
    nodes are compared on their full sets, block of nodes by block of nodes.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.graph import components
-from tessel.llm.staging import drop, free_shuffles, stage
+from tessel.llm.staging import drop, free_shuffles, partitions, stage
 from tessel.llm.textbytes import _odd, chunks, mix, view, word_hashes, words
 
 WIDTH = 5
@@ -38,8 +38,6 @@ TREES, DEPTH = 16, 8
 REGION = 1024
 #: Largest share of pairs at the threshold that may have no prefix in common in any tree.
 MISS = 2e-5
-#: Nodes sorted together where even whole labels are equal; neighbours are sought in parts of this size.
-PART = 4096
 #: Shingles of a block and columns of its matrix.
 VOLUME, COLUMNS = 1 << 20, 4096
 _U = np.uint64
@@ -248,12 +246,26 @@ def _centre_pairs(regions: DataFrame, most: int) -> DataFrame:
 
 
 def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame:
-    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / PART))
-    order = Window.partitionBy("tree", "prefix", part).orderBy("label", "fp")
+    """Pairs of nodes that stand within ``reach`` of each other in a region's order: those with the longest common prefixes.
+
+    Each tree is sorted as a whole, in ranges, so a region of any size spans as
+    many tasks as it needs; a range's last node meets the first one of the next.
+    """
+    key = ["tree", "label", "fp"]
+    dealt = regions.select(*key, "prefix", *_SKETCH).repartitionByRange(partitions(regions.sparkSession), *key)
+    placed = stage(dealt.withColumn("range", F.spark_partition_id()), "sorted-forest")
+    order = Window.partitionBy("tree", "prefix", "range").orderBy("label", "fp")
     next_ = [F.lead(F.struct("fp", *_SKETCH), k).over(order) for k in range(1, reach + 1)]
-    rows = regions.select("fp", *_SKETCH, F.array(*next_).alias("near"))
-    rows = rows.select("fp", *_SKETCH, F.explode("near").alias("c")).where(F.col("c").isNotNull() & _near("", "c.", most))
-    return stage(rows.select(*_pair("fp", "c.fp")).distinct(), "pairs")
+    rows = placed.select("fp", *_SKETCH, F.array(*next_).alias("near")).select("fp", *_SKETCH, F.explode("near").alias("c"))
+    # A row for each region and range that it spans.
+    edge = F.struct("label", "fp", *_SKETCH)
+    ends = placed.groupBy("tree", "prefix", "range").agg(F.min(edge).alias("head"), F.max(edge).alias("tail"))
+    over = ends.select("tail", F.lead("head").over(Window.partitionBy("tree", "prefix").orderBy("range")).alias("c"))
+    over = over.select("tail.fp", *(f"tail.{k}" for k in _SKETCH), F.struct("c.fp", *(f"c.{k}" for k in _SKETCH)).alias("c"))
+    rows = rows.unionAll(over).where(F.col("c.fp").isNotNull() & _near("", "c.", most))
+    pairs = stage(rows.select(*_pair("fp", "c.fp")).distinct(), "pairs")
+    drop(placed)
+    return pairs
 
 
 def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
@@ -303,7 +315,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
     forest = _regions(nodes, depth)
-    first, near = _centre_pairs(forest, most), _neighbour_pairs(forest, most)
+    near, hubs = _neighbour_pairs(forest, most), _centre_pairs(forest, most)
     free_shuffles(spark)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -311,7 +323,7 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
         holder = wanted.join(holder, "fp").select("fp", F.col("h.__th").alias("__th"), F.col("h.__id").alias("hid"))
         return body.join(holder, "__th").where(F.col("__id").eqNullSafe(F.col("hid"))).select("fp", F.col("__text").alias("t"))
 
-    texts = stage(texts_of(first.unionAll(near).select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "texts")
+    texts = stage(texts_of(near.unionAll(hubs).select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "texts")
     free_shuffles(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -326,13 +338,13 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
             pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
         return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    links = confirm(first)
+    links = confirm(near)
     roots = components(links)
-    more = stage(rooted(near, roots), "pairs")
+    more = stage(rooted(hubs, roots), "pairs")
     if not more.isEmpty():
         links = links.unionAll(confirm(more))
         roots = components(links)
-    drop(first, near, more, texts)
+    drop(near, hubs, more, texts)
     free_shuffles(spark)
     cells = _cells(forest, roots)
     drop(forest)

@@ -240,6 +240,19 @@ def test_large_regions_keep_all_their_nodes(spark, monkeypatch):
     assert sorted(bytes(r["fp"])[0] for r in near_dedup._regions(nodes, 4).collect()) == list(range(20))
 
 
+def test_neighbours_in_a_region_over_many_ranges(spark):
+    rng = random.Random(13)
+    nodes = [(bytes([k]), 9, 0, 0, 0, 0, [bytes(16) + bytes(rng.choices(range(4), k=16)), bytes([k % 2] * 32)]) for k in range(90)]
+    schema = "fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"
+    forest = near_dedup._regions(spark.createDataFrame(nodes, schema), 4)
+    got = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in near_dedup._neighbour_pairs(forest, 128, 1).collect()}
+    want = set()
+    for tree in (0, 1):
+        order = sorted(range(90), key=lambda k: (nodes[k][6][tree], k))
+        want |= {tuple(sorted(p)) for p in zip(order, order[1:]) if nodes[p[0]][6][tree][:16] == nodes[p[1]][6][tree][:16]}
+    assert got == want
+
+
 @pytest.mark.parametrize("shards", [4])
 def test_sharding_law(spark, corpus, shards):
     rows = [(i, t) for i, t in corpus if i != 48] * 4 + [(100, "same text")] * 200
