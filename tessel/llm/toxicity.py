@@ -182,7 +182,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, folds: int = 3)
     return model
 
 
-def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 10.0, least: int = 6, epochs: int = 25) -> Model | None:
+def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 5.0, least: int = 6, epochs: int = 25) -> Model | None:
     """A chain without its layer; None if there are no words or only one label."""
     table = pa.table({"t": texts})
     parts, firsts = [], [np.zeros(1, np.int64)]
