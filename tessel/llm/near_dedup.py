@@ -305,7 +305,8 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     least id in the component) and ``kept`` (is it that row).  A text without
     words, or null, has no shingles and is linked with nothing.  Rows with a
     null id take part; a component of such rows alone has a null id and all of
-    it is kept.  Repeated rows are in one component.  No rows give no rows.
+    it is kept.  Repeated rows are in one component.  No rows give no rows;
+    other columns are ignored.
     """
     spark, most, (trees, depth) = docs.sparkSession, far(percent), shape(percent)
     kind = docs.schema[row_id].dataType.simpleString()

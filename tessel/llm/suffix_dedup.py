@@ -294,7 +294,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_i
     All occurrences go, the first one too; strings are judged on the input.
     Returns ``row_id, n_bytes, n_removed, removed`` (start, end in bytes),
     ``kept_sha256`` and, if wanted, ``kept``, the other bytes as binary (a
-    character may be cut).  Repeated rows remove each other; shorter texts stay.
+    character may be cut).  Repeated rows remove each other; shorter texts stay;
+    no rows give no rows; other columns are ignored.
     """
     kind = docs.schema[row_id].dataType.simpleString()
     spans = repeated_spans(docs, length, text, row_id)

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.llm.staging import drop, stage
 from tessel.llm.textbytes import HashIndex, chunks, mix, runs, view, word_hashes
 
 _U = np.uint64
@@ -266,12 +267,15 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 5.0, least: int
     return Model(vocabulary[keep], w[:-1][keep], bias, t, np.zeros(6))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_bytes: int = 64 << 20, text: str = "text", row_id: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on labelled rows whose crc32(id as text) is no multiple of 5.
 
     At most ``max_rows`` rows of either label are used, those with the least
-    hash of the id, and their weights make up for the rest.  Of several labels
-    for an id the largest counts; null labels and ids are left out.
+    hash of the id, and their weights make up for the rest.  Of these, taken
+    from either label in turn, as many whole texts go to the driver as
+    ``max_bytes`` hold; one that is too long for the rest is passed over.  Of
+    several labels for an id the largest counts; null labels and ids are left
+    out.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(row_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
@@ -279,7 +283,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, text: str =
     taken = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_rows) for y in (0, 1)]
     sample = F.broadcast(taken[0].unionAll(taken[1]))  # 2 * max_rows ids at most
     rows = docs.select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id")
-    found = rows.dropDuplicates(["__id"]).orderBy("__y", "__id").select("__y", "__text").toArrow()
+    rows = stage(rows.dropDuplicates(["__id"]).select("__id", "__y", "__text", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("__n")), "labelled")
+    turn = F.row_number().over(Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id"))
+    lengths = rows.select("__id", "__n", "__y", turn.alias("turn")).orderBy("turn", "__y").collect()  # 2 * max_rows rows
+    taken, left = [], max_bytes
+    for r in lengths:
+        if r["__n"] <= left:
+            taken.append(r["__id"])
+            left -= r["__n"]
+    found = rows.where(F.col("__id").isin(taken)).orderBy("__y", "__id").select("__y", "__text").toArrow()
+    drop(rows)
     y = found.column(0).to_numpy().astype(np.float64)
     texts = pa.concat_arrays([c.cast(pa.large_string()) for c in found.column(1).chunks] or [pa.array([], pa.large_string())])
     weight = np.array([counts.get(int(k), 0) for k in y]) / np.maximum(1, np.where(y == 1, (y == 1).sum(), (y == 0).sum()))

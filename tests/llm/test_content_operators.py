@@ -266,6 +266,19 @@ def test_toxic_texts_are_found(spark):
     assert kept.count() == docs.count() and dict(kept.dtypes)["score"] == "double"
 
 
+def test_texts_for_training_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, "word " * (10_000 if k == 3 else 40)) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 2)) for k, _ in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, weight: seen.append((texts, y, weight)))
+    toxicity.train(docs_of(spark, rows), labels)
+    toxicity.train(docs_of(spark, rows), labels, max_bytes=2_000)
+    (whole, _, _), (texts, y, weight) = seen
+    assert len(whole) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
+    assert len(texts) == 10 and sum(len(t.as_py()) for t in texts) == 2_000 and sorted(y) == [0.0] * 5 + [1.0] * 5
+    assert weight.sum() == pytest.approx(len(whole))
+
+
 def test_no_labels_and_no_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of(spark, [(1, "a b")])
