@@ -201,7 +201,7 @@ def pack(pieces: DataFrame, tokens: int = 1024, documents: int = 1024, attention
     counts = stage(placed.groupBy("n", "part").agg(F.count("*").alias("k")), "piece-counts")
     stock = {r["n"]: r["k"] for r in counts.groupBy("n").agg(F.sum("k").alias("k")).collect()}  # `tokens` rows at most
     rows = plan(stock, tokens, documents, attention, weights, score)
-    # Its rows follow from the number of lengths, not from the number of pieces.
+    # Each pattern uses up a length and holds few different ones, so it has `tokens * sqrt(2 * tokens)` rows at most, however many pieces there are.
     places = spark.createDataFrame(rows, "length long, from long, to long, first long, m long, offset long")
     before = F.sum("k").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("n", "part", F.coalesce(before, F.lit(0)).alias("base"))

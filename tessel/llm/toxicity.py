@@ -33,6 +33,8 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIX = 6
 SEGMENT = 64
+#: Tokens that are gone through one after another.
+STRETCH = 1024
 #: Largest log-odds that a document's summary tells apart, and those of a sure token.
 LIMIT, SURE = 12.0, 1.0
 _SALTS = [_U(0), _U(0xA5A5), _U(0x5A5A5A), _U(0x3C3C3C3C)]
@@ -62,27 +64,82 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray)
 
 
 class Chain:
-    """Marginals of two-state chains that lie one after another in flat arrays."""
+    """Marginals of two-state chains that lie one after another in flat arrays.
+
+    Chains go side by side, token by token, in stretches of ``STRETCH`` tokens.
+    What a stretch does to the log-odds that enter it is a 2 x 2 matrix, so the
+    stretches of a long chain go side by side too: first their matrices, then
+    the values at their borders, then the tokens inside.
+    """
 
     def __init__(self, first: np.ndarray) -> None:
         n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        self.begin, self.n = first[:-1][order], n[order]
+        count = -(-n // STRETCH)
+        chain = np.repeat(np.arange(len(n)), count)
+        rank = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+        begin = first[:-1][chain] + rank * STRETCH
+        size = np.minimum(STRETCH, first[1:][chain] - begin)
+        order = np.argsort(-size, kind="stable")
+        self.begin, self.n = begin[order], size[order]
         self.active = np.searchsorted(-self.n, -np.arange(1, (self.n[0] if len(self.n) else 0) + 1), "right")
-
-    def run(self, emission: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward and backward log-odds; ``t[a, b]`` scores state b after state a, ``emission`` state 1 against 0."""
-        f, b = emission.astype(np.float64), np.zeros(len(emission))
+        # Places of the stretches that are the second, third, ... of their chain, and of those before them.
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_rank = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[by_rank], np.arange(1, (rank.max() if len(rank) else 0) + 2))
+        self.later = [(place[by_rank[x:y]], place[by_rank[x:y] - 1]) for x, y in zip(cuts, cuts[1:])]
+
+    def _forward(self, emission: np.ndarray, t: np.ndarray, enter: np.ndarray) -> np.ndarray:
+        """``enter`` has the log-odds before each stretch, nan at a chain's beginning."""
+        f = emission.astype(np.float64)
         for i, k in enumerate(self.active):
-            if i:
-                at = self.begin[:k] + i
-                x = f[at - 1]
-                f[at] += np.logaddexp(t[0, 1], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[1, 0])
+            at = self.begin[:k] + i
+            x = f[at - 1] if i else np.nan_to_num(enter[:k])
+            step = np.logaddexp(t[0, 1], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[1, 0])
+            f[at] += step if i else np.where(np.isnan(enter[:k]), 0.0, step)
+        return f
+
+    def _backward(self, emission: np.ndarray, t: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """``leave`` has the backward log-odds at each stretch's last token."""
+        b = np.zeros(len(emission))
+        b[self.begin + self.n - 1] = leave
         for i in range(len(self.active) - 2, -1, -1):
             at = self.begin[: self.active[i + 1]] + i
             x = b[at + 1] + emission[at + 1]
             b[at] = np.logaddexp(t[1, 0], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[0, 1])
-        return f, b
+        return b
+
+    def _matrices(self, emission: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Logarithms of the products of each stretch's steps, [from, to, stretch]."""
+        m = np.empty((2, 2, len(self.begin)))
+        for i, k in enumerate(self.active):
+            e = emission[self.begin[:k] + i]
+            if not i:
+                m[:, 0], m[:, 1] = t[:, :1], t[:, 1:] + e
+                continue
+            zero = np.logaddexp(m[:, 0, :k] + t[0, 0], m[:, 1, :k] + t[1, 0])
+            m[:, 1, :k] = np.logaddexp(m[:, 0, :k] + t[0, 1], m[:, 1, :k] + t[1, 1]) + e
+            m[:, 0, :k] = zero
+        return m
+
+    def run(self, emission: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward log-odds; ``t[a, b]`` scores state b after state a, ``emission`` state 1 against 0."""
+        enter, leave = np.full(len(self.begin), np.nan), np.zeros(len(self.begin))
+        if self.later:
+            m = self._matrices(emission, t)
+            own = self.begin[self.later[0][1]]  # the first stretches of long chains, which nothing enters
+            after = np.full(len(self.begin), np.nan)
+            x = emission[own].astype(np.float64)
+            for i in range(1, STRETCH):
+                x = emission[own + i] + np.logaddexp(t[0, 1], x + t[1, 1]) - np.logaddexp(t[0, 0], x + t[1, 0])
+            after[self.later[0][1]] = x
+            for here, before in self.later:
+                x = enter[here] = after[before]
+                after[here] = np.logaddexp(m[0, 1, here], x + m[1, 1, here]) - np.logaddexp(m[0, 0, here], x + m[1, 0, here])
+            for here, before in reversed(self.later):
+                x = leave[here]
+                leave[before] = np.logaddexp(m[1, 0, here], x + m[1, 1, here]) - np.logaddexp(m[0, 0, here], x + m[0, 1, here])
+        return self._forward(emission, t, enter), self._backward(emission, t, leave)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Filters, media columns and WARC records."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -219,6 +220,37 @@ def test_benjamini_hochberg_threshold():
 
 # Toxicity
 
+@pytest.mark.parametrize("stretch", [1, 2, 5, 64])
+def test_stretches_of_long_chains_give_the_same_marginals(monkeypatch, stretch):
+    rng = np.random.default_rng(5)
+    first = np.concatenate([[0], np.cumsum([0, 1, 7, 64, 0, 65, 200, 5])])
+    emission, t = rng.normal(0, 3, first[-1]), rng.normal(0, 2, (2, 2))
+    monkeypatch.setattr(toxicity, "STRETCH", 1 << 20)
+    want = toxicity.Chain(first).run(emission, t)
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    got = toxicity.Chain(first).run(emission, t)
+    assert np.allclose(got, want, atol=1e-9) and toxicity.Chain(np.zeros(1, np.int64)).run(np.zeros(0), t)[0].shape == (0,)
+    # Against all paths of a short chain.
+    a, b = first[2:4]
+    own = emission[a:b]
+    odds = (want[0] + want[1])[a:b]
+    score = {s: sum(own[k] * x for k, x in enumerate(s)) + sum(t[x, y] for x, y in zip(s, s[1:])) for s in itertools.product((0, 1), repeat=len(own))}
+    for k in range(len(own)):
+        on, off = (np.logaddexp.reduce([v for s, v in score.items() if s[k] == x]) for x in (1, 0))
+        assert odds[k] == pytest.approx(on - off)
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    from tessel.llm.textbytes import word_hashes
+
+    data = np.frombuffer(b"zarg", np.uint8)
+    model = toxicity.Model(word_hashes(data, np.array([0]), np.array([4])), np.array([9.0]), -4.0, np.zeros((2, 2)), np.array([-3.0, 0, 0, 2.0, 0, 0]))
+    text = "word " * 700_000 + "zarg zarg " + "word " * 10
+    got = toxicity.score(docs_of(spark, [(1, text), (2, "word")]), model).collect()
+    spans = next(r["spans"] for r in got if r["doc_id"] == 1)
+    assert [(s["start"], s["end"]) for s in spans] == [(3_500_000, 3_500_009)]
+
+
 def brute_marginals(emission, t):
     """All paths of a short chain."""
     import itertools
