@@ -35,7 +35,7 @@ from tessel.llm.suffix_array import suffix_array
 from tessel.llm.textbytes import BYTE, chunks, mix, powers, view
 
 _U = np.uint64
-ANCHOR, BLOCK, HOT = 32, 16, 4096
+ANCHOR, BLOCK, HOT = 32, 64, 4096
 #: Symbols of one suffix array; more blocks go into the next one.
 BATCH = 40_000
 #: Bits for a place beside its hash; longer texts are taken in overlapping halves of that length.
@@ -299,13 +299,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_i
     """
     kind = docs.schema[row_id].dataType.simpleString()
     spans = repeated_spans(docs, length, text, row_id)
-    both = keyed(docs, text, row_id).join(spans, ["r1", "r2"], "left").select("__id", "__text", "spans")
+    both = keyed(docs, text, row_id).join(spans, ["r1", "r2"], "left")
+    # Texts without spans stay as they are and needn't be sent.
+    whole = F.col("spans").isNull()
+    sent = F.col("__text") if with_kept else F.when(~whole, F.col("__text"))
+    both = both.select("__id", sent.alias("__text"), "spans", F.octet_length("__text").cast("long").alias("__n"), F.when(whole, F.sha2("__text", 256)).alias("__sha"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, removed, kept, sha = [], [], [], [], []
-            for body, listed in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            rows = zip(batch.column(1).cast(pa.binary()), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            for body, listed, size, done in rows:
                 raw = body.as_buffer()
+                if done:
+                    n.append(size)
+                    gone.append(0)
+                    removed.append([])
+                    sha.append(done)
+                    if with_kept:
+                        kept.append(raw.to_pybytes() if raw is not None else b"")
+                    continue
                 raw = memoryview(raw) if raw is not None else b""
                 runs = merged(listed or [])
                 edges = [0, *(x for run in runs for x in run), len(raw)]
