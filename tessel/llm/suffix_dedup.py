@@ -227,23 +227,31 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield settle()
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", row_id: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
     """(r1, r2, spans): byte spans covered by a string of ``length`` bytes that also starts elsewhere.
 
     ``r1, r2`` are the hashes of a row's text and id (see ``keyed``); the spans
-    are sorted by neither and may overlap.
+    are sorted by neither and may overlap.  With ``known``, an earlier result,
+    only the spans of rows that it lacks are asked for and complete; they are
+    sought in all rows.
     """
-    if length < 2 * ANCHOR or length < ANCHOR + BLOCK:
-        raise ValueError(f"length must be {2 * ANCHOR} or more")
+    if length < ANCHOR + BLOCK:
+        raise ValueError(f"length must be {ANCHOR + BLOCK} or more")
     spark = docs.sparkSession
     body = keyed(docs, text, row_id).select("r1", "r2", "__text")
     runs = stage(body.mapInArrow(_runs(length), "anchor long, content long, r1 long, r2 long, first long, n int, offset int"), "runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"))
     # Written first: a join with the aggregate itself would keep all runs of an anchor in one task.
     shared = stage(shared.where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "shared-anchors")
-    found = stage(runs.join(shared, "anchor").select("r1", "r2", "first", "n", "offset", "same"), "shared-runs")
+    found = stage(runs.join(shared, "anchor").select("anchor", "r1", "r2", "first", "n", "offset", "same"), "shared-runs")
     drop(runs, shared)
     free_shuffles(spark)
+    if known is not None:
+        marked = found.join(known.select("r1", "r2", F.lit(True).alias("known")), ["r1", "r2"], "left")
+        asked = stage(marked.where(F.col("known").isNull()).select("anchor").distinct(), "asked-anchors")
+        wanted = stage(found.join(asked, "anchor", "left_semi"), "asked-runs")
+        drop(found, asked)
+        found = wanted
 
     listed = found.where(~F.col("same")).groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "n", "offset")).alias("runs"))
     blocks = stage(
@@ -287,7 +295,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_id: str = "doc_id", with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_id: str = "doc_id", with_kept: bool = True, report: int | None = None) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts elsewhere.
 
     Texts are their UTF-8 bytes, null is empty, and no string crosses texts.
@@ -296,21 +304,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_i
     ``kept_sha256`` and, if wanted, ``kept``, the other bytes as binary (a
     character may be cut).  Repeated rows remove each other; shorter texts stay;
     no rows give no rows; other columns are ignored.
+
+    ``report``, a shorter length, adds ``n_passages``: how many maximal runs of
+    bytes repeated strings cover, of ``length`` bytes or, in a row without
+    such, of ``report`` bytes.  Nothing more is removed for it.
     """
     kind = docs.schema[row_id].dataType.simpleString()
     spans = repeated_spans(docs, length, text, row_id)
     both = keyed(docs, text, row_id).join(spans, ["r1", "r2"], "left")
+    brief = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
+    if report is not None:
+        both = both.join(repeated_spans(docs, report, text, row_id, spans).withColumnRenamed("spans", "brief"), ["r1", "r2"], "left")
+        brief = F.when(F.col("spans").isNull(), F.col("brief"))
     # Texts without spans stay as they are and needn't be sent.
     whole = F.col("spans").isNull()
     sent = F.col("__text") if with_kept else F.when(~whole, F.col("__text"))
-    both = both.select("__id", sent.alias("__text"), "spans", F.octet_length("__text").cast("long").alias("__n"), F.when(whole, F.sha2("__text", 256)).alias("__sha"))
+    both = both.select("__id", sent.alias("__text"), "spans", F.octet_length("__text").cast("long").alias("__n"), F.when(whole, F.sha2("__text", 256)).alias("__sha"), brief.alias("__brief"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, removed, kept, sha = [], [], [], [], []
-            rows = zip(batch.column(1).cast(pa.binary()), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-            for body, listed, size, done in rows:
+            n, gone, removed, kept, sha, passages = [], [], [], [], [], []
+            rows = zip(batch.column(1).cast(pa.binary()), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+            for body, listed, size, done, short in rows:
                 raw = body.as_buffer()
+                passages.append(len(merged(listed or short or [])))
                 if done:
                     n.append(size)
                     gone.append(0)
@@ -338,7 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", row_i
             if with_kept:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("kept")
+            if report is not None:
+                columns.append(pa.array(passages, pa.int64()))
+                names.append("n_passages")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"__id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
+    schema = f"__id {kind}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept + ", n_passages long" * (report is not None)
     return both.mapInArrow(work, schema).withColumnRenamed("__id", row_id)

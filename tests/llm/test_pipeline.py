@@ -124,7 +124,7 @@ def sf_rows():
 
 def test_registered_repeats_equal_brute_force(spark, sf_rows):
     got = QUERIES["op1_suffix_dedup"](spark, SF).collect()
-    assert sorted(map(tuple, got), key=str) == brute_repeats(sf_rows, 400) and any(r["n_removed"] for r in got)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_repeats(sf_rows, 400) and any(r["n_removed"] for r in got)
 
 
 def test_registered_shards_obey_the_law(spark, sf_rows):

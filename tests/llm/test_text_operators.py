@@ -81,6 +81,19 @@ def test_suffix_dedup_at_the_registered_length(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in got), key=str) == brute_repeats(rows, 400)
 
 
+def test_shorter_passages_are_reported_and_stay(spark):
+    rng = random.Random(23)
+    base = [prose(rng, 200) for _ in range(9)]
+    rows = list(enumerate(base)) + [(20 + k, prose(rng, 20) + base[k][100 : 100 + n] + prose(rng, 20)) for k, n in enumerate([249, 250, 300, 399, 400, 700])]
+    rows += [(30, base[7][:300] + prose(rng, 9) + base[8][:300] + base[6][:500]), (31, base[7][50:330]), (32, None), (33, base[3][100:360]), (34, prose(rng, 100))]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(table(spark, rows), 400, with_kept=False, report=250).collect()}
+    long, short = ({r[0]: r for r in brute_repeats(rows, n)} for n in (400, 250))
+    for i, _ in rows:
+        assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["removed"]), got[i]["kept_sha256"]) == long[i][1:]
+        assert got[i]["n_passages"] == (long[i][3] or short[i][3])
+    assert any(short[i][3] and not long[i][3] for i, _ in rows)
+
+
 def test_anchors_of_very_long_texts_are_those_of_the_whole(monkeypatch):
     rng = random.Random(2)
     data = np.frombuffer((prose(rng, 900) + "a" * 3000 + prose(rng, 900)).encode(), np.uint8)
