@@ -35,7 +35,7 @@ from tessel.llm.suffix_array import suffix_array
 from tessel.llm.textbytes import BYTE, chunks, mix, powers, view
 
 _U = np.uint64
-ANCHOR, BLOCK, HOT = 32, 64, 4096
+ANCHOR, BLOCK, HOT = 32, 32, 4096
 #: Symbols of one suffix array; more blocks go into the next one.
 BATCH = 40_000
 #: Bits for a place beside its hash; longer texts are taken in overlapping halves of that length.
