@@ -85,7 +85,9 @@ class LineRuns:
         """Add a batch: one row (h1, h2) for each document and different line."""
         counts = hashes.groupBy(*_HASH).agg(F.count("*").alias("docs"))
         if self.frequent is not None:
-            counts = counts.join(self.frequent.hint("merge"), _HASH, "left_anti")
+            # An anti join by name would be moved below the counting, and all rows of a hot line into one task.
+            known = self.frequent.withColumn("known", F.lit(True)).hint("merge")
+            counts = counts.join(known, _HASH, "left").where(F.col("known").isNull()).drop("known")
         self._put(self._run(counts, "run"))
 
     def _put(self, run: DataFrame) -> None:
