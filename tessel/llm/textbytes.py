@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; keeps the arrays below inside the cache.
 CHUNK = 1 << 20
+#: Longest tables of powers that a worker keeps.
+KEPT = 1 << 21
 
 _U = np.uint64
 
@@ -34,14 +36,18 @@ LOWER[65:91] += 32
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1."""
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, _INVERSE)):
-            a = np.full(m, b, _U)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0][:n], _powers[1][:n]
+    """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1; tables for very long texts aren't kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    m = n if n > KEPT else 1 << (n - 1).bit_length()
+    made = []
+    for b in (BASE, _INVERSE):
+        a = np.full(m, b, _U)
+        a[0] = 1
+        made.append(np.multiply.accumulate(a))
+    if m <= KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

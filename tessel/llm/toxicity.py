@@ -33,6 +33,8 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIX = 6
 SEGMENT = 64
+#: Bytes of text that are scored together.
+TOGETHER = 2 << 20
 #: Tokens that are gone through one after another.
 STRETCH = 1024
 #: Largest log-odds that a document's summary tells apart, and those of a sure token.
@@ -250,7 +252,9 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 5.0, least: int
             s, e, first = runs(data, at, LETTER)
             parts.append(features(data, s, e, first))
             firsts.append(first[1:] + firsts[-1][-1])
-    feats = [np.concatenate(rows) if parts else np.zeros(0, _U) for rows in (zip(*parts, strict=True) if parts else [[]] * 4)]
+    feats = []
+    for _ in range(4):  # template by template, so that no more than one is held twice
+        feats.append(np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, _U))
     first = np.concatenate(firsts)
     del parts, firsts
     owner = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
@@ -263,8 +267,9 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 5.0, least: int
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
         h, o = h[new], o[new]
-        names, inverse = np.unique(h, return_inverse=True)
-        return names, np.bincount(inverse, toxic[o], len(names)), np.bincount(inverse, 1 - toxic[o], len(names))
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        bad = np.add.reduceat(toxic[o], edge)
+        return h[edge], bad, np.diff(np.append(edge, len(h))) - bad
 
     if not len(feats[0]) or not toxic.any() or toxic.all():
         return None
@@ -304,21 +309,33 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, odds: float = 5.0, least: int
     speed = np.full(len(w), 1.0)
     inner = np.ones(len(take), bool)
     inner[first_[:-1]] = False
-    cur = np.flatnonzero(inner)
+    cur = np.flatnonzero(inner).astype(np.int32)
+    del tags, take, inner
+    prev, now = tags_[cur - 1], tags_[cur]
+    seen = np.array([((1 - prev) * (1 - now)).sum(), ((1 - prev) * now).sum(), (prev * (1 - now)).sum(), (prev * now).sum()])
+    del prev, now
     for _ in range(epochs):
-        x = sum(w[row] for row in index) + bias
+        x = np.full(len(tags_), bias)
+        for row in index:
+            x += w[row]
         f, b_ = chain.run(x, t)
-        gap = tags_ - _sigmoid(f + b_)
-        grad = sum(np.bincount(row, gap, len(w)) for row in index) - 0.05 * w
+        expected = np.zeros(4)
+        for at in range(0, len(cur), 1 << 16):  # in parts, as these arrays are many
+            c = cur[at : at + (1 << 16)]
+            ahead, here = f[c - 1], x[c] + b_[c]
+            z = [np.full(len(c), t[0, 0]), t[0, 1] + here, ahead + t[1, 0], ahead + t[1, 1] + here]
+            norm = np.logaddexp(np.logaddexp(z[0], z[1]), np.logaddexp(z[2], z[3]))
+            expected += [np.exp(v - norm).sum() for v in z]
+        f += b_
+        del x, b_
+        gap = tags_ - _sigmoid(f)
+        del f
+        grad = -0.05 * w
+        for row in index:
+            grad += np.bincount(row, gap, len(w))
         grad[-1] = 0
         speed += grad**2
         w += 2.5 * grad / np.sqrt(speed)
-        ahead, here = f[cur - 1], x[cur] + b_[cur]
-        z = [np.full(len(cur), t[0, 0]), t[0, 1] + here, ahead + t[1, 0], ahead + t[1, 1] + here]
-        norm = np.logaddexp(np.logaddexp(z[0], z[1]), np.logaddexp(z[2], z[3]))
-        expected = np.array([np.exp(v - norm).sum() for v in z])
-        prev, now = tags_[cur - 1], tags_[cur]
-        seen = np.array([((1 - prev) * (1 - now)).sum(), ((1 - prev) * now).sum(), (prev * (1 - now)).sum(), (prev * now).sum()])
         t = t + (0.5 * (seen - expected) / np.sqrt(len(cur) * np.maximum(seen, 1))).reshape(2, 2)
     keep = np.abs(w[:-1]) > 0.2
     return Model(vocabulary[keep], w[:-1][keep], bias, t, np.zeros(6))
@@ -372,7 +389,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text", score: str = "to
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in chunks(whole, text, 4 << 20):
+            for batch in chunks(whole, text, TOGETHER):
                 data, at = view(batch.column(batch.schema.get_field_index(text)))
                 s, e, first = runs(data, at, LETTER)
                 odds = m.odds(features(data, s, e, first), first)
