@@ -231,9 +231,10 @@ def _regions(nodes: DataFrame, depth: int) -> DataFrame:
     keyed = rows.withColumn("prefix", F.substring("label", 1, 4 * depth))
     # Written first: a join with the aggregate itself would keep all of a region in one task.
     sizes = stage(keyed.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "region-sizes")
-    found = stage(keyed.join(sizes, ["tree", "prefix"]), "regions")
-    forest = stage(found.join(found.groupBy("fp").agg(F.sum("size").alias("weight")), "fp"), "forest")
-    drop(sizes, found)
+    # A node has a row for each tree at most.
+    weight = F.sum("size").over(Window.partitionBy("fp"))
+    forest = stage(keyed.join(sizes, ["tree", "prefix"]).withColumn("weight", weight), "forest")
+    drop(sizes)
     return forest
 
 
@@ -268,19 +269,35 @@ def _neighbour_pairs(regions: DataFrame, most: int, reach: int = 2) -> DataFrame
     return pairs
 
 
-def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cell, side, fp, root): pairs of blocks in which all nodes of a region with different roots meet.
+def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(cell, side, fp, root): pairs of blocks in which all nodes of a region with different roots meet; None if no region has such.
 
     A root with more than ``REGION`` nodes of a region has blocks of its own,
-    which needn't be compared with each other.
+    which needn't be compared with each other.  A region of one block is a cell
+    as it is.
     """
     region, block = ["tree", "prefix"], ["tree", "prefix", "own", "part"]
     nodes = forest.select(*region, "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    nodes = rooted = stage(nodes, "rooted")
-    counts = counted = stage(nodes.groupBy(*region, "root").agg(F.count("*").alias("m"), F.sum("n").alias("volume")), "region-roots")
-    open_ = counts.groupBy(*region).agg(F.count("*").alias("k")).where("k > 1").select(*region)
+    rooted = stage(nodes, "rooted")
+    ends = rooted.groupBy(*region).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m"), F.sum("n").alias("volume"))
+    whole = (F.col("m") <= REGION) & (F.col("volume") <= VOLUME)
+    open_ = stage(ends.where("least <> most").select(*region, whole.alias("whole")), "open-regions")
+    if open_.isEmpty():
+        drop(rooted, open_)
+        return None
+    opened, large = stage(rooted.join(open_, region), "open-nodes"), not open_.where(~F.col("whole")).isEmpty()
+    drop(rooted, open_)
+    zero = F.lit(0).cast("long")
+    cell = F.xxhash64(*region, F.lit(b""), zero, F.lit(b""), zero)
+    alone = opened.where("whole").select(cell.alias("cell"), F.lit(0).alias("side"), "fp", "root")
+    if not large:
+        dealt = stage(alone, "cell-nodes")
+        drop(opened)
+        return dealt
+    nodes = opened.where(~F.col("whole"))
+    counts = nodes.groupBy(*region, "root").agg(F.count("*").alias("m"), F.sum("n").alias("volume"))
     # Mixed blocks have the empty name.
-    counts = counts.join(open_, region).withColumn("own", F.when(F.col("m") > REGION, F.col("root")).otherwise(F.lit(b"")))
+    counts = stage(counts.withColumn("own", F.when(F.col("m") > REGION, F.col("root")).otherwise(F.lit(b""))), "region-roots")
     parts = counts.groupBy(*region, "own").agg(F.ceil(F.greatest(F.sum("m") / REGION, F.sum("volume") / VOLUME)).alias("parts"))
     parts = stage(parts, "region-parts")
     owns = stage(counts.select(*region, "root", "own").join(parts, [*region, "own"]), "region-owns")
@@ -292,11 +309,20 @@ def _cells(forest: DataFrame, roots: DataFrame) -> DataFrame:
     pairs = stage(pairs.withColumn("cell", F.xxhash64(*block, "own2", "part2")), "cells")
     left = pairs.select(*block, "cell", F.lit(0).alias("side"))
     right = pairs.where(first != second).select(*region, F.col("own2").alias("own"), F.col("part2").alias("part"), "cell", F.lit(1).alias("side"))
-    dealt = stage(nodes.join(left.unionAll(right), block).select("cell", "side", "fp", "root"), "cell-nodes")
-    drop(rooted, counted, parts, owns, pairs)
+    dealt = stage(nodes.join(left.unionAll(right), block).select("cell", "side", "fp", "root").unionAll(alone), "cell-nodes")
+    drop(opened, counts, parts, owns, pairs)
     return dealt
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b) between roots: only these are gone through."""
+    if links.isEmpty():
+        return roots
+    moves = components(links)
+    to = moves.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return stage(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionAll(moves), "roots")
+
+
 def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Components of documents whose 5-word shingle sets are alike.
 
@@ -315,7 +341,10 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
         body.mapInArrow(_digest(trees), f"__id {kind}, __th long, fp binary, n long, s0 long, s1 long, s2 long, s3 long, labels array<binary>"), "minhash"
     )
     nodes = digest.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.first(F.struct("n", *_SKETCH, "labels")).alias("x")).select("fp", "x.*")
+    nodes = stage(nodes, "nodes")
+    free_shuffles(spark)
     forest = _regions(nodes, depth)
+    drop(nodes)
     near, hubs = _neighbour_pairs(forest, most), _centre_pairs(forest, most)
     free_shuffles(spark)
 
@@ -327,37 +356,36 @@ def link_near_copies(docs: DataFrame, percent: int = 85, text: str = "text", row
     texts = stage(texts_of(near.unionAll(hubs).select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "texts")
     free_shuffles(spark)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, *names: str) -> DataFrame:
+        """(a, b) under other names of pairs that are alike; one may come more than once."""
         left = texts.select(F.col("fp").alias("a"), F.col("t").alias("ta"))
         right = texts.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return stage(both.mapInArrow(_compare(percent), "a binary, b binary").distinct(), "links")
+        both = pairs.join(right, "b").join(left, "a").select(*names, "ta", "tb")
+        return stage(both.mapInArrow(_compare(percent), "a binary, b binary"), "links")
 
     def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose nodes have different roots."""
+        """Pairs whose nodes have different roots, with these."""
         for side in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-        return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            named = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+            pairs = pairs.join(named, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+        return pairs.where("ra <> rb").select("a", "b", "ra", "rb")
 
-    links = confirm(near)
-    roots = components(links)
+    roots = components(confirm(near, "a", "b"))
     more = stage(rooted(hubs, roots), "pairs")
     if not more.isEmpty():
-        links = links.unionAll(confirm(more))
-        roots = components(links)
+        roots = _merged(roots, confirm(more, "ra", "rb"))
     drop(near, hubs, more, texts)
     free_shuffles(spark)
     cells = _cells(forest, roots)
     drop(forest)
     free_shuffles(spark)
-    if not cells.isEmpty():
+    if cells is not None:
         sets = texts_of(cells.select("fp").distinct()).dropDuplicates(["fp"]).mapInArrow(_sets, "fp binary, shingles binary")
         sets = stage(sets, "sets")
         free_shuffles(spark)
         dealt = cells.join(sets, "fp").select("cell", "side", "root", "shingles").repartition("cell").sortWithinPartitions("cell")
-        roots = components(links.unionAll(stage(dealt.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "links")))
-        drop(sets)
-    drop(cells)
+        roots = _merged(roots, stage(dealt.mapInArrow(_blocks(percent), "a binary, b binary"), "links"))
+        drop(sets, cells)
     free_shuffles(spark)
     named = digest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id")), "components")

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tessel.llm import line_dedup, near_dedup, packing, sharding, suffix_dedup
+from tessel.llm import graph, line_dedup, near_dedup, packing, sharding, suffix_dedup
 from tessel.llm.suffix_array import suffix_array
 
 SCHEMA = "doc_id long, text string, kept string, size string, __row string, offset int"
@@ -232,6 +232,48 @@ def test_near_dedup_of_pairs_in_a_dense_cloud(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
+def written(monkeypatch):
+    """Gets the label of each table that is written to find components or roots."""
+    labels = []
+    for module in (graph, near_dedup):
+        monkeypatch.setattr(module, "stage", lambda df, label, *by, real=module.stage: labels.append(label) or real(df, label, *by))
+    return labels
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components_take_few_rounds(spark, monkeypatch, shape):
+    rng = random.Random(21)
+    ids = [rng.randbytes(16) for _ in range(400)]
+    pairs = {"chain": list(zip(ids, ids[1:])), "star": [(ids[0], x) for x in ids], "random": [tuple(rng.choices(ids, k=2)) for _ in range(300)]}[shape]
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for x in sorted(near):  # each least node first
+        todo = [x] if x not in want else []
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    monkeypatch.setattr(graph, "EDGES", 32)  # as if the edges came in many parts
+    labels = written(monkeypatch)
+    got = sorted((bytes(r["node"]), bytes(r["root"])) for r in graph.components(spark.createDataFrame(pairs, "a binary, b binary").repartition(5)).collect())
+    assert got == sorted((x, r) for x, r in want.items() if x != r)
+    assert len(labels) <= 4
+
+
+def test_later_links_go_through_roots_only(spark, monkeypatch):
+    """A pass with 211 partitions takes seconds however few rows it has: found components are not worked out anew."""
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    labels = written(monkeypatch)
+    rows = cloud(6, 2)
+    got = near_dedup.link_near_copies(table(spark, rows), 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 85))
+    assert labels.count("edges") <= 5
+
+
 @pytest.mark.parametrize("percent", [10, 30, 50, 80, 82, 85, 95, 100])
 def test_trees_follow_the_threshold(percent):
     trees, depth = near_dedup.shape(percent)
